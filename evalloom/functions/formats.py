@@ -5,13 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from evalloom.functions.core import or_empty
 
 RESULT_FILE = "eval_results.csv"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ten_digits(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if pd.isna(v) else f"{v:.10g}")
 

@@ -96,7 +96,7 @@ def fill_template(template: Column, value: Column, names: Sequence[str] = ("inst
     plain = F.transform(
         pieces, lambda p: F.replace(F.replace(p, F.lit("\x01"), F.lit("{")), F.lit("\x02"), F.lit("}"))
     )
-    return F.array_join(plain, value)
+    return F.call_function("array_join", plain, value)
 
 
 def choose_prompt(

@@ -11,11 +11,9 @@ from pyspark.sql import functions as F
 
 from evalloom.functions.arrays import LABEL_MASK, ones_like, pad_to
 
-_BATCH = W.partitionBy("batch_id")
-
 
 def _padded_length(ids: Column, multiple: int | None) -> Column:
-    longest = F.max(F.size(ids)).over(_BATCH)
+    longest = F.max(F.size(ids)).over(W.partitionBy("batch_id"))
     return (F.ceil(longest / multiple) * multiple).cast("int") if multiple else longest
 
 
@@ -43,10 +41,10 @@ def collate(
     pad = pad_id if pad_id is not None else (eos_id or 0)
     lengths = _with_length(df, multiple)
     if "attention_mask" in df.columns:
-        lengths = lengths.withColumn("_masked", F.count_if(F.col("attention_mask").isNull()).over(_BATCH) == 0)
+        lengths = lengths.withColumn("_masked", F.count_if(F.col("attention_mask").isNull()).over(W.partitionBy("batch_id")) == 0)
     ids = pad_to(F.col("input_ids"), F.col("_len"), pad)
     if "labels" in df.columns:
-        lengths = lengths.withColumn("_labelled", F.count("labels").over(_BATCH) > 0)
+        lengths = lengths.withColumn("_labelled", F.count("labels").over(W.partitionBy("batch_id")) > 0)
         given = F.coalesce("labels", F.array().cast("array<int>"))
         labels = F.when(F.col("_labelled"), pad_to(given, F.col("_len"), label_pad)).otherwise(ids)
     else:

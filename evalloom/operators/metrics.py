@@ -27,7 +27,7 @@ def hit_rate(pred: Column, label: Column) -> Column:
 
 def binary_f1(pred: Column, label: Column) -> Column:
     tp = F.count_if((pred == 1) & (label == 1))
-    return _no_zero(2.0 * tp, 2 * tp + F.count_if((pred == 1) ^ (label == 1)))
+    return _no_zero(2.0 * tp, 2 * tp + F.count_if((pred == 1) != (label == 1)))
 
 
 def matthews(pred: Column, label: Column) -> Column:

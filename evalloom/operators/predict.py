@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def batch_predict(
@@ -20,7 +21,7 @@ def batch_predict(
     if batch_size < 1:
         raise ValueError("batch size must be at least 1")
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         predictor = load()
         for batch in batches:

@@ -71,7 +71,7 @@ def global_rank(
         keyed.withColumn("_pb", _borders(keyed, "_p", count))
         .withColumn("_tb", _borders(keyed, "_t", count))
         .withColumn("_pr", _place(F.col("_p"), F.col("_pb"), count))
-        .withColumn("_own", F.coalesce(F.try_element_at("_pb", F.col("_pr")) == F.col("_p"), F.lit(False)))
+        .withColumn("_own", F.coalesce(F.try_element_at("_pb", F.greatest("_pr", F.lit(1))) == F.col("_p"), F.lit(False)))
         .withColumn("_tr", F.when(F.col("_own"), _place(F.col("_t"), F.col("_tb"), count)).otherwise(0))
         .withColumn("_pr", F.col("_pr") * 2 - F.col("_own").cast("int"))
         .drop("_pb", "_tb", "_own")

@@ -115,7 +115,8 @@ def read_instructions(spark: SparkSession, path: str | None = None, text: str |
 def scan_results(spark: SparkSession, roots: Sequence[str], glob: str = "*results.csv") -> DataFrame:
     """Files (source_path, length) matching a name pattern under files or folders, each once.
 
-    Only the listing is read. A root that does not exist or no match at all is an error.
+    Only the listing is read, in which Spark leaves out files of no length. A root that does
+    not exist or no match at all is an error.
     """
     roots = list(dict.fromkeys(r.rstrip("/") if len(r) > 1 else r for r in roots))
     listing = (
