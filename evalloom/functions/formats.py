@@ -12,18 +12,31 @@ from evalloom.functions.core import or_empty
 RESULT_FILE = "eval_results.csv"
 
 
-@F.pandas_udf(StringType())
-def _ten_digits(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if pd.isna(v) else f"{v:.10g}")
+def _python_format(spec: str):
+    """Python number formatting. Java rounds halves of the shortest decimal, Python the exact binary value."""
+
+    @F.pandas_udf(StringType())
+    def formatted(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if pd.isna(v) else format(v, spec))
+
+    return formatted
+
+
+_ten_digits, _five_places, _one_digit = (_python_format(spec) for spec in (".10g", ".5f", ".0e"))
 
 
 def format_10g(value: Column) -> Column:
-    """Ten significant digits without trailing zeros. Used at sinks only."""
+    """Ten significant digits without trailing zeros. Like the two below for small tables at sinks only."""
     return _ten_digits(value.cast("double"))
 
 
 def format_5f(value: Column) -> Column:
-    return F.format_string("%.5f", value)
+    return _five_places(value.cast("double"))
+
+
+def format_0e(value: Column) -> Column:
+    """One significant digit in scientific form, ``4e-04``."""
+    return _one_digit(value.cast("double"))
 
 
 def init_label(value: Column) -> Column:

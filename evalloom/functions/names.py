@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalloom.functions.core import bind, or_empty
+from evalloom.functions.formats import format_0e
 from evalloom.functions.text import last_segment, path_safe
 
 # The trainer whose runs carry a restart suffix, and the default trainer.
@@ -176,7 +177,7 @@ def run_tags(runs: DataFrame, name: str = "tags") -> DataFrame:
         flag("peft.use_dora", "dora"),
         flag("peft.use_rslora", "rslora"),
         flag("peft.use_qalora", "qalora"),
-        tag("training.learning_rate", "lr:", F.format_string("%.0e", field(runs, "training.learning_rate").cast("double"))),
+        tag("training.learning_rate", "lr:", format_0e(field(runs, "training.learning_rate"))),
         tag("training.optim", "optim:", optim),
         F.concat(
             F.lit("bs:"),
@@ -217,7 +218,7 @@ def parse_run_path(path: Column, mode: str = "strict") -> Column:
             return F.struct(
                 b.alias("run_name"),
                 F.element_at(parts, -1).alias("timestamp"),
-                F.regexp_extract(or_empty(before), r"\As(-?[0-9]+)\z", 1).try_cast("int").alias("seed"),
+                F.regexp_extract(or_empty(before), r"\As([+-]?[0-9]+)\z", 1).try_cast("int").alias("seed"),
                 F.when(F.startswith(or_empty(third), F.lit("sr")), third).otherwise("none").alias("extra"),
             )
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from evalloom.functions import arrays, text
 from evalloom.functions.core import or_empty, strip_ws
 from evalloom.operators.ranges import global_rank, lookup, text_codes
+from evalloom.sources.scratch import settle
 
 TOKEN_BREAK = r"\s+"
 
@@ -31,9 +32,11 @@ def split_words(value: Column) -> Column:
 def build_vocab(df: DataFrame, column: str, first_id: int = 0, words: Callable[[Column], Column] = split_words) -> DataFrame:
     """Vocabulary (token, id, n): ids follow byte order of the tokens, ``n`` counts occurrences."""
     counts = df.select(F.explode(words(F.col(column))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    # The text is read once: ranking works on the written counts, and the result is written too.
+    counts = settle(counts)
     head, rest = text_codes(F.col("token"))
     ranked = global_rank(counts, head, rest, "id", [F.col("token")])
-    return ranked.select("token", (F.col("id") - 1 + first_id).cast("int").alias("id"), "n")
+    return settle(ranked.select("token", (F.col("id") - 1 + first_id).cast("int").alias("id"), "n"))
 
 
 @dataclass

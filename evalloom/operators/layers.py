@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.functions.arrays import power_scale
-from evalloom.operators.ranges import global_rank, lookup, previous_rows, running_before, text_codes
+from evalloom.operators.ranges import global_rank, lookup, running_before, text_codes
+from evalloom.sources.scratch import settle
 
 BUDGET_METRICS = ("ratio", "raw", "sum", "max")
 BETA_LIMIT = 10.0
@@ -65,7 +66,8 @@ def rank_budget(
     if not redistribute:
         return sizes.select("layer", enough.cast("long").alias("assigned"))
     column = "value" if "value" in kept.columns else metric
-    first = kept.filter(F.col("pos") < wanted)
+    columns = ["layer", "pos", column, *(["seq"] if "seq" in kept.columns else [])]
+    first = settle(kept.filter(F.col("pos") < wanted).select(*columns))
     if "seq" in kept.columns:
         ranked = global_rank(first, -F.col(column), -F.col("seq"), "_rank")
     else:
@@ -137,6 +139,7 @@ def linear_quantile(df: DataFrame, value: str, qs: Sequence[float]) -> DataFrame
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(
         F.count("*").alias("_n")
     )
+    counts = settle(counts)
     total = counts.agg(F.sum("_n")).scalar()
     placed = running_before(counts, (), "_v", "_n", "_start").withColumn("_total", total)
     asked = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(c).alias("c")) for q, c in zip(qs, clamped)])
@@ -180,6 +183,7 @@ def infer_betas(
     """
     if not 0 < alpha_min < 1 < alpha_max:
         raise ValueError("need 0 < alpha_min < 1 < alpha_max")
+    energy = settle(energy)
     ratios = energy.withColumn("_mean", energy.agg(F.avg("energy")).scalar()).select(
         "_mean", F.greatest(F.col("energy") / F.col("_mean"), F.lit(eps)).alias("_ratio")
     )
@@ -223,6 +227,7 @@ def reallocate_scale(
     """
     if mode not in REALLOCATION_MODES:
         raise ValueError(f"mode must be one of {', '.join(REALLOCATION_MODES)}")
+    energy = settle(energy)
     joined = attach_layer_stat(layers, energy)
     if mode == "distributed":
         scaled = joined.withColumn("_mean", energy.agg(F.avg("energy")).scalar())
@@ -245,10 +250,10 @@ def scale_history(log: DataFrame) -> DataFrame:
     ``log`` is (layer, step, old_alpha, alpha). A layer may have any number of steps, so
     the history stays one row per value.
     """
-    ordered = previous_rows(log.select("layer", "step", "old_alpha", "alpha"), ["layer"], "step", "step", 1)
-    counted = running_before(ordered.withColumn("_one", F.lit(1)), ["layer"], "step", "_one", "_before")
+    rows = log.select("layer", "step", "old_alpha", "alpha", F.lit(1).alias("_one"))
+    counted = running_before(rows, ["layer"], "step", "_one", "_before")
     new = F.struct((F.col("_before") + 1).alias("pos"), F.col("step"), F.col("alpha"))
     old = F.struct(F.lit(0).cast("long").alias("pos"), F.col("step"), F.col("old_alpha").alias("alpha"))
-    both = F.when(F.col("step_lag1").isNull(), F.array(old, new)).otherwise(F.array(new))
+    both = F.when(F.col("_before") == 0, F.array(old, new)).otherwise(F.array(new))
     return counted.select("layer", F.inline(both))
 

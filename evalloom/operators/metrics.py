@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from evalloom.functions import arrays
 from evalloom.operators.ranges import lookup, running_before
+from evalloom.sources.scratch import settle
 
 logger = logging.getLogger(__name__)
 
@@ -81,16 +82,19 @@ def with_prediction(df: DataFrame, regression: bool = False, logits: str = "logi
     return df.withColumn("pred", pred)
 
 
+def rank_table(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Average rank of every distinct value per group, with the number of rows that hold it (``_n``)."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    lower = running_before(settle(counts), by, value, "_n", "_lower")
+    return lower.select(*by, value, (F.col("_lower") + (F.col("_n") + 1) / 2).alias(f"{value}_rank"), "_n")
+
+
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Add ``{value}_rank``: rank inside the group, ties sharing their mean rank.
 
     Ranks are worked out on distinct values and looked up, so equal values never meet in one task.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    ranks = running_before(counts, by, value, "_n", "_lower").select(
-        *by, value, (F.col("_lower") + (F.col("_n") + 1) / 2).alias(f"{value}_rank"), "_n"
-    )
-    return lookup(df, ranks, [*by, value], "_n")
+    return lookup(df, rank_table(df, value, by), [*by, value], "_n")
 
 
 def task_metric(df: DataFrame, task: str, by: Sequence[str] = ()) -> DataFrame | None:
@@ -104,6 +108,7 @@ def task_metric(df: DataFrame, task: str, by: Sequence[str] = ()) -> DataFrame |
     rows = df.select(*by, "pred", "label")
     if regression:
         rows = rows.withColumn("label", F.col("label").cast("double"))
-        for side in ("pred", "label"):
-            rows = average_rank(rows, side, by)
+        ranks = {side: rank_table(rows, side, by) for side in ("pred", "label")}
+        for side, table in ranks.items():
+            rows = lookup(rows, table, [*by, side], "_n")
     return rows.groupBy(*by).agg(*[_COLUMNS[name]().alias(name) for name in metric_registry[task]])

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evalloom.sources.scratch import settle
+
 MAX_RANGES = 4096
 HEAVY_SHARE = 10_000
 
@@ -57,25 +59,37 @@ def group_key(by: Sequence[str]) -> Column:
 
 
 def global_rank(
-    df: DataFrame, primary: Column, tie: Column, name: str = "rank", order: Sequence[Column] | None = None
+    df: DataFrame, primary: Column, tie: Column | None = None, name: str = "rank", order: Sequence[Column] | None = None
 ) -> DataFrame:
     """Rank from 1 over all rows, ascending by (primary, tie), without a single-task sort.
 
     ``primary`` and ``tie`` are numeric. A primary value held by many rows gets ranges
     of its own, which are cut further by ``tie``. ``order`` refines the order inside a
-    range when the two numbers are only a prefix of the true sort key.
+    range when the two numbers are only a prefix of the true sort key. ``df`` is read
+    three times, twice for the key columns only.
     """
     count = range_count(df.sparkSession)
-    keyed = df.withColumn("_p", primary).withColumn("_t", tie)
-    placed = (
-        keyed.withColumn("_pb", _borders(keyed, "_p", count))
-        .withColumn("_tb", _borders(keyed, "_t", count))
-        .withColumn("_pr", _place(F.col("_p"), F.col("_pb"), count))
-        .withColumn("_own", F.coalesce(F.try_element_at("_pb", F.greatest("_pr", F.lit(1))) == F.col("_p"), F.lit(False)))
-        .withColumn("_tr", F.when(F.col("_own"), _place(F.col("_t"), F.col("_tb"), count)).otherwise(0))
-        .withColumn("_pr", F.col("_pr") * 2 - F.col("_own").cast("int"))
-        .drop("_pb", "_tb", "_own")
-    )
+    keyed = df.withColumn("_p", primary)
+    borders = {"_pb": "_p"}
+    if tie is not None:
+        keyed = keyed.withColumn("_t", tie)
+        borders["_tb"] = "_t"
+    shares = [i / count for i in range(1, count)]
+    found = keyed.agg(
+        F.struct(*[F.percentile_approx(c, shares, 10 * count).alias(b) for b, c in borders.items()]).alias("_b")
+    ).scalar()
+    placed = keyed.withColumn("_b", found).withColumn("_pr", _place(F.col("_p"), F.col("_b._pb"), count))
+    if tie is None:
+        placed = placed.withColumn("_tr", F.lit(0))
+    else:
+        own = F.try_element_at("_b._pb", F.greatest("_pr", F.lit(1))) == F.col("_p")
+        placed = (
+            placed.withColumn("_own", F.coalesce(own, F.lit(False)))
+            .withColumn("_tr", F.when(F.col("_own"), _place(F.col("_t"), F.col("_b._tb"), count)).otherwise(0))
+            .withColumn("_pr", F.col("_pr") * 2 - F.col("_own").cast("int"))
+            .drop("_own")
+        )
+    placed = placed.drop("_b")
     # At most one row per range: bounded by the number of borders, not by the data.
     before = (
         placed.groupBy("_pr", "_tr")
@@ -83,7 +97,7 @@ def global_rank(
         .withColumn("_before", F.sum("_n").over(W.orderBy("_pr", "_tr").rowsBetween(W.unboundedPreceding, -1)))
         .select("_pr", "_tr", F.coalesce("_before", F.lit(0)).alias("_before"))
     )
-    inside = W.partitionBy("_pr", "_tr").orderBy(*(order or [F.col("_p"), F.col("_t")]))
+    inside = W.partitionBy("_pr", "_tr").orderBy(*(order or [F.col(c) for c in borders.values()]))
     return (
         placed.withColumn("_rn", F.row_number().over(inside))
         .join(before, ["_pr", "_tr"])
@@ -148,9 +162,11 @@ def lookup(df: DataFrame, table: DataFrame, on: Sequence[str], weight: str, how:
 
     Keys above 1/10,000 of all rows, of which there are at most 10,000, are broadcast;
     the others are shuffled. Rows that found a heavy key are spread by their source
-    partition in that shuffle, so no key becomes one large task.
+    partition in that shuffle, so no key becomes one large task. The table is read three
+    times, so it is written out first.
     """
     on = list(on)
+    table = settle(table)
     values = [c for c in table.columns if c not in on and c != weight]
     total = table.agg(F.sum(weight)).scalar()
     weighed = table.withColumn("_total", total)

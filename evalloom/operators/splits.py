@@ -16,7 +16,7 @@ SPLIT_PATTERN = re.compile(r"\A(?P<name>[^\[]*)(?:\[(?P<range>.*?)\]*)?\Z", re.S
 
 def with_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     """Positions 0, 1, 2 … by a unique numeric key."""
-    return global_rank(df, F.col(key), F.lit(0), name).withColumn(name, F.col(name) - 1)
+    return global_rank(df, F.col(key), name=name).withColumn(name, F.col(name) - 1)
 
 
 def with_file_position(df: DataFrame, name: str = "idx") -> DataFrame:
@@ -91,13 +91,16 @@ def split_slice(df: DataFrame, expr: str | None, order: str = "idx", strict: boo
     return slice_rows(df, start, end, order)
 
 
-def batch_id(df: DataFrame, size: int, order: str = "idx") -> DataFrame:
-    """Batches of ``size`` rows, the remainder joining the last one."""
+def batch_id(df: DataFrame, size: int, order: str = "idx", total: Column | None = None) -> DataFrame:
+    """Batches of ``size`` rows, the remainder joining the last one.
+
+    ``total`` may give the row count (see ``row_total``) of a cheaper frame than ``df``.
+    """
     if size < 1:
         raise ValueError("batch size must be at least 1")
     last = F.greatest(F.floor(F.col("_total") / size) - 1, F.lit(0))
     return (
-        df.withColumn("_total", row_total(df))
+        df.withColumn("_total", row_total(df) if total is None else total)
         .withColumn("batch_id", F.least(F.floor(F.col(order) / size), last).cast("long"))
         .drop("_total")
     )
@@ -115,7 +118,7 @@ def shard_sizes(df: DataFrame, n: int, order: str = "idx") -> DataFrame:
     return shards.join(counts, "shard", "left").select("shard", F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
-def even_chunks(df: DataFrame, n: int, order: str = "idx") -> DataFrame:
+def even_chunks(df: DataFrame, n: int, order: str = "idx", total: Column | None = None) -> DataFrame:
     """``n`` contiguous chunks, the first ones one row longer; closed form, so nothing is sorted."""
     base, extra = F.floor(F.col("_total") / n), F.pmod(F.col("_total"), F.lit(n))
     in_long = extra * (base + 1)
@@ -123,7 +126,8 @@ def even_chunks(df: DataFrame, n: int, order: str = "idx") -> DataFrame:
     chunk = F.when(pos < in_long, F.floor(pos / (base + 1))).otherwise(
         extra + F.floor(F.try_divide(pos - in_long, base))
     )
-    return df.withColumn("_total", row_total(df)).withColumn("chunk", chunk.cast("long")).drop("_total")
+    counted = df.withColumn("_total", row_total(df) if total is None else total)
+    return counted.withColumn("chunk", chunk.cast("long")).drop("_total")
 
 
 def default_seed(seed: int) -> int:
@@ -134,8 +138,8 @@ def seeded_sample(df: DataFrame, n: int, seed: int, order: str = "idx") -> DataF
     """The first ``n`` rows of a seeded shuffle, in shuffle order. Too few rows is an error.
 
     Rows are ordered by the md5 of seed and index. A histogram of the first four hex
-    digits tells which digits are wholly inside, so only one of 65,536 slices is ranked
-    and only the sample itself is sorted.
+    digits tells which of 65,536 slices are wanted, so no more than the sample and one
+    slice is shuffled, ranked and sorted.
     """
     keyed = df.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.col(order).cast("string"))))
     keyed = keyed.withColumn("_slice", F.substr("_key", F.lit(1), F.lit(4)))
@@ -149,16 +153,11 @@ def seeded_sample(df: DataFrame, n: int, seed: int, order: str = "idx") -> DataF
     known = F.when(F.col("_cut").isNotNull(), F.col("_cut")).otherwise(
         F.raise_error(F.lit(f"sample of {n} rows is larger than the data")).cast("struct<_slice:string,_rest:bigint>")
     )
-    cutting = keyed.withColumn("_cut", cut).withColumn("_cut", known)
-    whole = cutting.filter(F.col("_slice") < F.col("_cut._slice"))
+    cutting = keyed.withColumn("_cut", cut).withColumn("_cut", known).filter(F.col("_slice") <= F.col("_cut._slice"))
     ranked = W.partitionBy("_slice").orderBy("_key", order)
-    edge = (
-        cutting.filter(F.col("_slice") == F.col("_cut._slice"))
-        .withColumn("_rn", F.row_number().over(ranked))
-        .filter(F.col("_rn") <= F.col("_cut._rest"))
-        .drop("_rn")
-    )
-    return whole.unionByName(edge).orderBy("_key", order).drop("_key", "_slice", "_cut")
+    inside = (F.col("_slice") < F.col("_cut._slice")) | (F.col("_rn") <= F.col("_cut._rest"))
+    sample = cutting.withColumn("_rn", F.row_number().over(ranked)).filter(inside)
+    return sample.orderBy("_key", order).drop("_key", "_slice", "_cut", "_rn")
 
 
 def restore_order(df: DataFrame, order: str = "idx") -> DataFrame:

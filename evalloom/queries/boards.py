@@ -120,7 +120,7 @@ def results_append(spark, sf_dir):
     SELECT 't' || o_orderkey AS timestamp, o_orderpriority AS base_model, 'glue' AS dataset_name,
            CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS subset,
            CASE o_orderstatus WHEN 'F' THEN 'kaiming' WHEN 'O' THEN '' ELSE 'pissa' END AS init_lora_weights,
-           '' AS extra, CAST(o_custkey AS VARCHAR) AS seed, round(o_totalprice / 60, 6) AS run_time,
+           '' AS extra, CAST(o_custkey AS VARCHAR) AS seed, o_totalprice / 60 AS run_time,
            q AS metric_eval_quantity, n AS metric_eval_lines,
            CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 64 ELSE 16 END AS BIGINT) AS r,
            '["' || o_orderpriority || '", "' || o_orderstatus || '"]' AS target_modules,
@@ -143,7 +143,7 @@ def result_row_build(spark, sf_dir):
         F.lit("glue").alias("dataset_name"),
         F.when(status == "P", "").otherwise(status).alias("subset"),
         F.col("o_custkey").alias("seed"),
-        F.round(F.col("o_totalprice") / 60, 6).alias("run_time"),
+        (F.col("o_totalprice") / 60).alias("run_time"),
         adapter.alias("adapter"),
     )
     measured = (

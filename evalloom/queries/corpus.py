@@ -10,6 +10,7 @@ from evalloom.operators import collate as col
 from evalloom.operators import encode, splits
 from evalloom.queries.registry import joined, query, sql_text, table
 from evalloom.sources.readers import load_splits
+from evalloom.sources.scratch import settle
 
 INDEXED = "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, doc_id, n_chars, source FROM documents"
 
@@ -40,7 +41,8 @@ def split_slice(spark, sf_dir):
     """,
 )
 def batch_tail_merge(spark, sf_dir):
-    batches = splits.batch_id(_documents(spark, sf_dir), 32)
+    total = splits.row_total(table(spark, sf_dir, "documents"))
+    batches = splits.batch_id(_documents(spark, sf_dir), 32, total=total)
     return batches.groupBy("batch_id").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
     )
@@ -62,7 +64,8 @@ def round_robin_shards(spark, sf_dir):
     """,
 )
 def even_chunks(spark, sf_dir):
-    chunks = splits.even_chunks(_documents(spark, sf_dir), 13)
+    total = splits.row_total(table(spark, sf_dir, "documents"))
+    chunks = splits.even_chunks(_documents(spark, sf_dir), 13, total=total)
     return chunks.groupBy("chunk").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
     )
@@ -344,7 +347,8 @@ MASK_PADDED = "repeat('1,', n - 1) || '1' || repeat(',0', len - n) AS attention_
 
 
 def _batched(spark, sf_dir):
-    return splits.batch_id(splits.with_index(_sft(spark, sf_dir), "k"), 16)
+    encoded = settle(_sft(spark, sf_dir))
+    return splits.batch_id(splits.with_index(encoded, "k"), 16, total=splits.row_total(encoded))
 
 
 def _as_text(df, labels=True):
@@ -381,14 +385,14 @@ def collate_plain(spark, sf_dir):
     _padded_sql(
         f"{IDS_PADDED}, {MASK_PADDED}, array_to_string(CASE "
         "WHEN batch_id % 3 = 0 THEN list_concat(ids, list_transform(range(len - n), lambda x: 0)) "
-        "WHEN k % 2 = 0 AND batch_id % 3 = 1 THEN list_transform(range(len), lambda x: -100) "
+        "WHEN k // 1000 % 2 = 0 AND batch_id % 3 = 1 THEN list_transform(range(len), lambda x: -100) "
         "ELSE list_concat(labels, list_transform(range(len - n), lambda x: -100)) END, ',') AS labels"
     ),
 )
 def collate_partial_labels(spark, sf_dir):
-    """Batches 0, 3, … have no labels at all, batches 1, 4, … none on even keys, and no row has a mask."""
+    """Batches 0, 3, … have no labels at all, batches 1, 4, … none in even conversations, and no row has a mask."""
     batched = _batched(spark, sf_dir).drop("attention_mask")
-    gone = (F.col("batch_id") % 3 == 0) | ((F.col("batch_id") % 3 == 1) & (F.col("k") % 2 == 0))
+    gone = (F.col("batch_id") % 3 == 0) | ((F.col("batch_id") % 3 == 1) & (F.floor(F.col("k") / 1000) % 2 == 0))
     return _as_text(col.collate(batched.withColumn("labels", F.when(~gone, F.col("labels"))), 0))
 
 
@@ -462,8 +466,9 @@ def single_encode(spark, sf_dir):
 )
 def collate_classes(spark, sf_dir):
     tokenizer = encode.ArrowTokenizer(length_tokenizer, pad_id=0)
-    ids = tokenizer.encode(table(spark, sf_dir, "documents"), {"input_ids": "text"}, ["doc_id", "n_chars"])
-    rows = splits.batch_id(splits.with_index(encode.rename_label(ids, "n_chars"), "doc_id"), 8)
+    ids = settle(tokenizer.encode(table(spark, sf_dir, "documents"), {"input_ids": "text"}, ["doc_id", "n_chars"]))
+    indexed = splits.with_index(encode.rename_label(ids, "n_chars"), "doc_id")
+    rows = splits.batch_id(indexed, 8, total=splits.row_total(ids))
     out = col.collator_for(rows, "SEQ_CLS", 0)(rows)
     return out.select(
         "doc_id", "batch_id", "labels", F.size("input_ids").cast("long").alias("width"),

@@ -209,11 +209,11 @@ def _sql_symbolic(strict: bool) -> str:
     return rf"""
     WITH field AS (
         SELECT *, trim(split_part(string_split(prediction_raw, 'The answer is: ')[-1], '.' || chr(10), 1)) AS temp,
-               nullif(regexp_extract(reference, '\\boxed\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}}'), '') AS boxed
+               nullif(regexp_extract(reference, '\\(?:boxed|fbox)\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}}'), '') AS boxed
         FROM ({SYMBOLIC_ROWS})),
     cleaned AS (
         SELECT *, trim(regexp_replace(temp, '\.$', '')) AS a,
-               CASE WHEN boxed IS NOT NULL THEN substr(boxed, 8, length(boxed) - 8) END AS expected_answer FROM field),
+               CASE WHEN starts_with(boxed, '\boxed') THEN substr(boxed, 8, length(boxed) - 8) END AS expected_answer FROM field),
     answered AS (SELECT *, {empty} AS answer FROM cleaned),
     normal AS (
         SELECT *, {_sql_normal("answer")} AS na, {_sql_normal("expected_answer")} AS ne FROM answered)

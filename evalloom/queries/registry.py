@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,17 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name for a query that writes files and reads them back.
-
-    On a cluster this lies in the shared folder of ``spark.checkpoint.dir``; only
-    where that is not set (tests) it is a local temporary folder.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="run-")
-    return f"{base}/evalloom-{uuid.uuid4().hex}"
-
-
 def sql_text(value: str) -> str:
     """A SQL string literal."""
     return "'" + value.replace("'", "''") + "'"

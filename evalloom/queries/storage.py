@@ -11,8 +11,9 @@ from evalloom.operators.encode import ArrowTokenizer
 from evalloom.operators.results import attach_adapter
 from evalloom.plans import jobs
 from evalloom.queries.grading import NUMERIC_GRADED, _numeric, answer_with_length
-from evalloom.queries.registry import joined, query, scratch, table
+from evalloom.queries.registry import joined, query, table
 from evalloom.sources import readers, sinks
+from evalloom.sources.scratch import scratch
 from evalloom.streaming import streams
 
 
@@ -150,7 +151,7 @@ def prediction_files(spark, sf_dir):
     items = rows.select("idx", "split", "instruction", "reference")
     sinks.write_predictions(ops.grade(items, rows.select("idx", "split", "prediction_raw"), "numeric"), path)
     schema = "idx long, split string, instruction string, reference string, prediction string, correct boolean, expected_answer string"
-    return readers.read_jsonl(spark, f"{path}/predictions", schema)
+    return readers.read_jsonl(spark, f"{path}/predictions", schema).drop(sinks.FOLDER)
 
 
 @query(
@@ -201,8 +202,8 @@ def inference_files(spark, sf_dir):
 @query(
     "run_manifest",
     """
-    SELECT o_orderkey, o_orderstatus AS status, round(o_totalprice / 60, 6) AS total_training_time,
-           round(o_totalprice / (o_custkey + 1), 6) AS training_time_per_step_sec FROM orders
+    SELECT o_orderkey, o_orderstatus AS status, o_totalprice / 60 AS total_training_time,
+           o_totalprice / (o_custkey + 1) AS training_time_per_step_sec FROM orders
     """,
 )
 def run_manifest(spark, sf_dir):
@@ -214,10 +215,7 @@ def run_manifest(spark, sf_dir):
     sinks.write_manifest(runs, path)
     schema = "o_orderkey long, config struct<status string>, total_training_time double, training_time_per_step_sec double"
     out = readers.read_jsonl(spark, path, schema)
-    return out.select(
-        "o_orderkey", "config.status", F.round("total_training_time", 6).alias("total_training_time"),
-        F.round("training_time_per_step_sec", 6).alias("training_time_per_step_sec"),
-    )
+    return out.select("o_orderkey", "config.status", "total_training_time", "training_time_per_step_sec")
 
 
 @query(
