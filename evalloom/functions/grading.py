@@ -38,12 +38,13 @@ def _digit_tables() -> tuple[str, str]:
 
 
 def ascii_digits(text: Column) -> Column:
-    """Decimal digits of any script as 0-9."""
-    return F.translate(text, *_digit_tables())
+    """Decimal digits of any script as 0-9; plain ASCII text is passed through."""
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, *_digit_tables()))
 
 
 def _as_double(text: Column) -> Column:
-    return ascii_digits(F.replace(F.replace(text, F.lit(","), F.lit("")), F.lit("_"), F.lit(""))).try_cast("double")
+    plain = F.translate(text, ",_", "")
+    return bind(plain, lambda t: ascii_digits(t).try_cast("double"))
 
 
 def _rounded(value: Column) -> Column:

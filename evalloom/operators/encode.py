@@ -41,7 +41,7 @@ def build_vocab(df: DataFrame, column: str, first_id: int = 0, words: Callable[[
 
 @dataclass
 class VocabTokenizer:
-    """Tokenizer whose vocabulary is a table. Encoding is a join, so the vocabulary may be of any size."""
+    """Tokenizer whose vocabulary (token, id, n) is a stored table. Encoding is a join, so it may be of any size."""
 
     vocab: DataFrame
     unk_id: int = 0
@@ -62,7 +62,7 @@ class VocabTokenizer:
             df.select(*keep, F.explode(sides).alias("_s"))
             .select(*keep, F.col("_s.side").alias("_side"), F.posexplode_outer("_s.words").alias("_pos", "token"))
         )
-        found = lookup(long, self.vocab.select("token", "id", "n"), ["token"], "n")
+        found = lookup(long, self.vocab.select("token", "id", "n"), ["token"], "n", stored=True)
         at = F.struct("_side", "_pos", F.coalesce("id", F.lit(self.unk_id)).alias("id"))
         # One row's tokens come back together: the group is as large as the text it came from.
         grouped = found.groupBy(*keep).agg(F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), at))).alias("_t"))

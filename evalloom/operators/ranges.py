@@ -157,16 +157,18 @@ def previous_rows(df: DataFrame, by: Sequence[str], order: str, value: str, n: i
     return out.drop("_by", "_range", "_rn", "_tail", "_carry", *[f"_in{k}" for k in range(1, n + 1)])
 
 
-def lookup(df: DataFrame, table: DataFrame, on: Sequence[str], weight: str, how: str = "left") -> DataFrame:
+def lookup(
+    df: DataFrame, table: DataFrame, on: Sequence[str], weight: str, how: str = "left", stored: bool = False
+) -> DataFrame:
     """Join a lookup table (unique on ``on``) whose ``weight`` says how many rows each key stands for.
 
     Keys above 1/10,000 of all rows, of which there are at most 10,000, are broadcast;
     the others are shuffled. Rows that found a heavy key are spread by their source
     partition in that shuffle, so no key becomes one large task. The table is read three
-    times, so it is written out first.
+    times, so it is written out first unless it is ``stored`` already.
     """
     on = list(on)
-    table = settle(table)
+    table = table if stored else settle(table)
     values = [c for c in table.columns if c not in on and c != weight]
     total = table.agg(F.sum(weight)).scalar()
     weighed = table.withColumn("_total", total)

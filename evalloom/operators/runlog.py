@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalloom.operators.ranges import add_range, group_key, lookup, previous_rows
+from evalloom.operators.ranges import add_range, group_key, lookup, previous_rows, running_before
+
+# Up to this many rows per group, Spark cuts a row-number filter down before its shuffle (its default setting).
+GROUP_LIMIT = 1000
 
 
 def _groups(log: DataFrame) -> list[str]:
@@ -46,9 +49,17 @@ def best_checkpoint(log: DataFrame, metric: str | None, greater: bool = True) ->
 
 
 def keep_last_n(checkpoints: DataFrame, n: int) -> DataFrame:
-    """The newest ``n`` rows of every run. Spark keeps at most ``n`` per run and task before the shuffle."""
-    newest = W.partitionBy("run").orderBy(F.desc("step"))
-    return checkpoints.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= n).drop("_rn")
+    """The newest ``n`` rows of every run (one row per run and step).
+
+    For a usual ``n`` Spark keeps no more than ``n`` rows per run and task before the
+    shuffle; a larger one is counted off in step ranges.
+    """
+    if n <= GROUP_LIMIT:
+        newest = W.partitionBy("run").orderBy(F.desc("step"))
+        return checkpoints.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= n).drop("_rn")
+    columns = checkpoints.columns
+    counted = checkpoints.withColumn("_back", -F.col("step")).withColumn("_one", F.lit(1))
+    return running_before(counted, ["run"], "_back", "_one", "_newer").filter(F.col("_newer") < n).select(*columns)
 
 
 def early_stop(log: DataFrame, metric: str | None, patience: int, greater: bool = True) -> DataFrame:

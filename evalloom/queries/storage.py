@@ -9,6 +9,7 @@ from evalloom.operators import grade as ops
 from evalloom.operators import leaderboard as lb
 from evalloom.operators.encode import ArrowTokenizer
 from evalloom.operators.results import attach_adapter
+from evalloom.operators.splits import restore_order
 from evalloom.plans import jobs
 from evalloom.queries.grading import NUMERIC_GRADED, _numeric, answer_with_length
 from evalloom.queries.registry import joined, query, table
@@ -154,6 +155,30 @@ def prediction_files(spark, sf_dir):
     return readers.read_jsonl(spark, f"{path}/predictions", schema).drop(sinks.FOLDER)
 
 
+@query(
+    "debug_files",
+    f"""
+    SELECT idx, prediction_raw, token AS matched_token, number AS pred_number, gold AS expected_number, correct
+    FROM ({NUMERIC_GRADED})
+    """,
+)
+def debug_files(spark, sf_dir):
+    path = scratch(spark)
+    rows = _numeric(spark, sf_dir)
+    items = rows.select("idx", "split", "instruction", "reference")
+    sinks.write_debug(ops.grade(items, rows.select("idx", "split", "prediction_raw"), "numeric", debug=True), path)
+    schema = (
+        "idx long, prediction_raw string, correct boolean, "
+        "judge struct<expected_number double, pred_number double, extraction struct<matched_token string>>"
+    )
+    out = readers.read_jsonl(spark, f"{path}/debug", schema)
+    return restore_order(
+        out.select(
+            "idx", "prediction_raw", "judge.extraction.matched_token", "judge.pred_number", "judge.expected_number", "correct"
+        )
+    )
+
+
 @query(
     "metric_files",
     f"SELECT 'gsm8k' AS split_dir, round(avg(CAST(correct AS INTEGER)), 9) AS accuracy, count(*) AS total FROM ({NUMERIC_GRADED})",

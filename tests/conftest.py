@@ -13,7 +13,7 @@ from evalloom import build_session
 def spark():
     session = build_session(
         "evalloom-tests",
-        "local[4]",
+        "local[8]",
         spark__sql__shuffle__partitions="4",
         spark__ui__enabled="false",
         spark__driver__memory="4g",

@@ -148,6 +148,8 @@ def test_checkpoints_and_early_stop(log):
                         want[run] = step
                         break
             assert {r["run"]: r["stop_step"] for r in runlog.early_stop(df, None, patience, greater).collect()} == want
+    long_tail = {(r["run"], r["step"]) for r in runlog.keep_last_n(df.union(df.withColumn("step", F.col("step") + 1000)).union(df.withColumn("step", F.col("step") + 2000)), 1001).collect()}
+    assert len(long_tail) == sum(min(1001, 3 * len(v)) for v in series(rows).values()) and min(s for _, s in long_tail) >= 0
     newest = {(r["run"], r["step"]) for r in runlog.keep_last_n(df, 2).collect()}
     assert newest == {(run, s) for run, vals in series(rows).items() for s, _ in vals[-2:]}
     due = {(r["run"], r["step"]) for r in runlog.cadence(df, 50, 60, 30).collect()}

@@ -115,3 +115,22 @@ def test_names_and_sets(spark):
     with pytest.raises(ValueError):
         splits.check_splits(["x", "math"], ["gsm8k", "math"])
     assert splits.parse_splits("a, b,") == ["a", "b"]
+
+
+def test_hot_groups_are_cut(spark):
+    """A group or a value that holds nearly all rows is spread over ranges, none of which is large."""
+    rows = spark.range(20000).select(F.col("id").alias("step"), F.lit("hot").alias("g"), F.lit(1.0).alias("v"))
+    ranged = ranges.add_range(rows, "step").groupBy("g", "_range").count().collect()
+    assert len(ranged) == 8 and max(r["count"] for r in ranged) < 20000 / 4
+    plan = ranges.global_rank(rows, F.col("v"), F.col("step"), "rank")
+    assert plan.agg(F.max("rank"), F.countDistinct("rank")).first()[0:2] == (20000, 20000)
+    # One value for all rows: the ranks still come out of several windows, cut by the tie column.
+    sizes = plan.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 1
+
+
+def test_slice_filter_reaches_the_scan(spark, tmp_path):
+    spark.range(100).withColumnRenamed("id", "idx").withColumn("x", F.lit("a")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    text = splits.split_slice(df, "train[10:20]").select("idx")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(idx,10)" in text and "LessThan(idx,20)" in text and "ReadSchema: struct<idx:bigint>" in text
