@@ -135,10 +135,14 @@ def previous_rows(df: DataFrame, by: Sequence[str], order: str, value: str, n: i
     """Add ``{value}_lag1 … {value}_lag{n}`` by ascending ``order``; like ``lag`` per group, for groups of any size."""
     ranged = add_range(df, order).withColumn("_by", group_key(by))
     inside = W.partitionBy("_by", "_range").orderBy(order)
-    local = ranged.withColumn("_rn", F.row_number().over(inside))
-    for k in range(1, n + 1):
-        local = local.withColumn(f"_in{k}", F.lag(F.struct(F.col(value).alias("v")), k).over(inside))
-    local = local.withColumn("_tail", F.lead(F.lit(1), n).over(inside).isNull())
+    here = ranged.withColumn("_here", F.struct(F.col(value).alias("v")))
+    # One select, so that all functions share one window operator.
+    local = here.select(
+        *ranged.columns,
+        F.row_number().over(inside).alias("_rn"),
+        *[F.lag("_here", k).over(inside).alias(f"_in{k}") for k in range(1, n + 1)],
+        F.lead("_here", n).over(inside).isNull().alias("_tail"),
+    )
     # The last n rows of every range, then the last n of all earlier ranges: a few rows per range.
     earlier = W.partitionBy("_by").orderBy("_range").rowsBetween(-n, -1)
     carried = (
