@@ -96,9 +96,11 @@ def shared_values(df: DataFrame, key: str, value: str) -> DataFrame:
 
     Stays in long form: a value may be held by any number of keys.
     """
-    counts = df.groupBy(value).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
-    counted = counts.select(value, F.col("_n").alias("n"), F.col("_n").alias("_w"))
-    return lookup(df.select(value, key), counted, [value], "_w", "inner")
+    # A struct key, so that keys sharing a null value are found too.
+    keyed = df.select(F.struct(value).alias("_value"), key)
+    counts = keyed.groupBy("_value").agg(F.count("*").alias("_w")).filter(F.col("_w") > 1)
+    found = lookup(keyed, counts.withColumn("n", F.col("_w")), ["_value"], "_w", "inner")
+    return found.select(f"_value.{value}", key, "n")
 
 
 def _gram(factor: DataFrame, name: str) -> DataFrame:

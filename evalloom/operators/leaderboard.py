@@ -111,7 +111,9 @@ def macro_mean(
         )
     )
     ties = ["_order"] if order else keys
-    return pooled.orderBy(F.desc("metric_eval_mean_avg"), *ties).drop("_order")
+    # Means that agree in their ten written digits count as equal.
+    written = format_10g(F.col("metric_eval_mean_avg")).cast("double")
+    return pooled.withColumn("_written", written).orderBy(F.desc("_written"), *ties).drop("_order", "_written")
 
 
 def as_text_table(df: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ def task_metric(df: DataFrame, task: str, by: Sequence[str] = ()) -> DataFrame |
         df = with_prediction(df, regression)
     rows = df.select(*by, "pred", "label")
     if regression:
-        rows = rows.withColumn("label", F.col("label").cast("double"))
+        rows = rows.withColumn("label", F.col("label").cast("double")).dropna(subset=["pred", "label"])
         ranks = {side: rank_table(rows, side, by) for side in ("pred", "label")}
         for side, table in ranks.items():
             rows = lookup(rows, table, [*by, side], "_n")

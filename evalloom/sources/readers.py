@@ -83,7 +83,8 @@ def load_splits(
 
 def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType) -> DataFrame:
     """JSON lines; blank lines are skipped, a malformed one fails the job."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path if isinstance(path, str) else list(path))
+    reader = spark.read.schema(schema).option("mode", "FAILFAST").option("allowSingleQuotes", "false")
+    return reader.json(path if isinstance(path, str) else list(path))
 
 
 def read_eval_items(spark: SparkSession, split: str, path: str) -> DataFrame:

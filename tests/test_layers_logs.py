@@ -33,7 +33,7 @@ def test_suffix_and_shared(spark):
     pick = lambda *p: {r[0] for r in layers.match_suffix(df, spark.createDataFrame([(x,) for x in p], "pattern string")).collect()}
     assert pick("q") == {"a.b.q", "q"} and pick("b.q") == {"a.b.q"} and pick("x", "bq") == {"b.q.x", "a.bq"}
     kv = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("d", None), ("e", None)], "k string, v int")
-    assert {tuple(r) for r in layers.shared_values(kv, "k", "v").collect()} == {(1, "a", 2), (1, "b", 2)}
+    assert {tuple(r) for r in layers.shared_values(kv, "k", "v").collect()} == {(1, "a", 2), (1, "b", 2), (None, "d", 2), (None, "e", 2)}
 
 
 def test_layer_energy(spark):
@@ -187,5 +187,8 @@ def test_metrics(spark):
     assert metrics.with_prediction(wrapped).first()["pred"] == 1
     ties = spark.createDataFrame([([2.0, 5.0, 5.0],)], "logits array<double>")
     assert metrics.with_prediction(ties).first()["pred"] == 1
+    holes = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 7.0), (9.0, None), (None, -5.0)], "pred double, label double")
+    got = metrics.task_metric(holes, "stsb").first()
+    assert got["pearson"] == pytest.approx(statistics.correlation([1, 2, 3], [2, 4, 7])) and got["spearmanr"] == pytest.approx(1.0)
     constant = spark.createDataFrame([(1.0, 1.0), (1.0, 2.0)], "pred double, label double")
     assert metrics.task_metric(constant, "stsb").first()["pearson"] is None

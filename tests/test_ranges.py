@@ -63,6 +63,9 @@ def test_lookup_heavy_and_rare(spark):
 def test_index_and_slices(spark):
     df = splits.with_index(spark.range(0, 5000, 7).withColumnRenamed("id", "key").repartition(6), "key")
     assert [tuple(r) for r in df.orderBy("key").collect()] == [(k, i) for i, k in enumerate(range(0, 5000, 7))]
+    words = ["b", "a", "\u00e9", "z", "abcdefghijklmnopq", "abcdefghijklmnopr", "abcdefg", "Z", ""] + [f"prefix/of/path/{i}" for i in range(300)]
+    named = splits.with_index(spark.createDataFrame([(w,) for w in words], "w string").repartition(5), "w")
+    assert [r["w"] for r in named.orderBy("idx").collect()] == sorted(words, key=lambda w: w.encode())
     five = spark.range(5).withColumnRenamed("id", "idx")
     take = lambda e: sorted(r["idx"] for r in splits.split_slice(five, e).collect())
     assert [take(e) for e in ("train[:3]", "train[2:]", "train[2:4]", "train[2]", "train", "train[3:3]")] == [
