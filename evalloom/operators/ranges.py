@@ -1,9 +1,9 @@
 """Positional work over very large or very uneven groups.
 
 Spark runs one window group in one task. A run, user or layer that holds a third
-of all rows would therefore be one task. These helpers cut every group into
-ordered ranges, do the window inside a range, and bring what earlier ranges add
-(a count, a sum, the last rows) in from a small table of one row per range. The
+of all rows would therefore be one task. These helpers cut such groups into
+ordered ranges, do the window inside a range, and bring in what earlier ranges
+add (a sum, the last rows) as a few extra rows at the head of each range. The
 range borders only balance the load: any borders give the same result.
 """
 
@@ -30,32 +30,59 @@ def range_count(spark: SparkSession) -> int:
     return count
 
 
-def _borders(df: DataFrame, value: str, count: int) -> Column:
-    """Scalar subquery: ``count - 1`` ascending approximate quantiles of a numeric column."""
+def _borders(values: dict[str, str], count: int) -> Column:
+    """Struct of ascending approximate quantiles, ``count - 1`` of each numeric column."""
     shares = [i / count for i in range(1, count)]
-    return df.agg(F.percentile_approx(value, shares, 10 * count).alias("borders")).scalar()
+    return F.struct(*[F.percentile_approx(c, shares, 10 * count).alias(n) for n, c in values.items()])
 
 
-def _place(value: Column, borders: Column, count: int) -> Column:
-    """Number of borders at or below the value: a binary search written as a fold over halving steps."""
-    steps = [F.lit(count >> i) for i in range(1, count.bit_length())]
-    return F.aggregate(
-        F.array(*steps),
-        F.lit(0),
-        lambda at, step: F.when(value >= F.try_element_at(borders, at + step), at + step).otherwise(at),
-    )
+def _place(df: DataFrame, value: str, borders: Column, count: int, name: str) -> DataFrame:
+    """Add the number of borders at or below a value: a binary search, one select per halving."""
+    df = df.withColumn(name, F.lit(0))
+    for i in range(1, count.bit_length()):
+        ahead = F.col(name) + (count >> i)
+        reached = F.col(value) >= F.try_element_at(borders, ahead)
+        df = df.withColumn(name, F.when(reached, ahead).otherwise(F.col(name)))
+    return df
+
+
+def _same(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for name in by:
+        out = out & left[name].eqNullSafe(right[name])
+    return out
 
 
-def add_range(df: DataFrame, order: str, name: str = "_range") -> DataFrame:
-    """Tag rows with the range of a numeric ``order`` column; higher ranges hold higher values."""
+def add_range(df: DataFrame, by: Sequence[str], order: str, name: str = "_range") -> DataFrame:
+    """Tag rows with a range of a numeric ``order`` column, higher ranges holding higher values.
+
+    Only groups above one range's share of all rows are cut; there are fewer of them than
+    ranges, so their list is broadcast. All other rows get range 0. Without grouping
+    columns everything is one group and is cut.
+    """
     count = range_count(df.sparkSession)
-    tagged = df.withColumn("_borders", _borders(df, order, count))
-    return tagged.withColumn(name, _place(F.col(order), F.col("_borders"), count)).drop("_borders")
+    hot = F.lit(True)
+    tagged = df
+    if by:
+        sizes = df.groupBy(*by).agg(F.count("*").alias("_size"))
+        total = df.agg(F.count("*")).scalar()
+        large = settle(
+            sizes.withColumn("_total", total).filter(F.col("_size") * count > F.col("_total")).select(*by, F.lit(1).alias("_hot"))
+        )
+        tagged = df.join(F.broadcast(large), _same(df, large, by), "left").select(*[df[c] for c in df.columns], "_hot")
+        hot = F.col("_hot").isNotNull()
+    cut = F.when(hot, F.col(order))
+    keyed = tagged.withColumn("_cut", cut)
+    found = keyed.filter(F.col("_cut").isNotNull()).agg(_borders({"b": "_cut"}, count).alias("_b")).scalar()
+    placed = _place(keyed.withColumn("_b", found), "_cut", F.col("_b.b"), count, name)
+    return placed.withColumn(name, F.when(F.col("_cut").isNotNull(), F.col(name) + 1).otherwise(0)).select(
+        *df.columns, name
+    )
 
 
-def group_key(by: Sequence[str]) -> Column:
-    """One never-null key for any number of grouping columns, so null groups survive joins."""
-    return F.struct(*by) if by else F.lit(0)
+def group_window(by: Sequence[str]) -> W:
+    """Window over the rows of a group; callers keep these to a few rows per range."""
+    return W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
 
 
 def global_rank(
@@ -70,26 +97,21 @@ def global_rank(
     """
     count = range_count(df.sparkSession)
     keyed = df.withColumn("_p", primary)
-    borders = {"_pb": "_p"}
+    keys = {"p": "_p"}
     if tie is not None:
         keyed = keyed.withColumn("_t", tie)
-        borders["_tb"] = "_t"
-    shares = [i / count for i in range(1, count)]
-    found = keyed.agg(
-        F.struct(*[F.percentile_approx(c, shares, 10 * count).alias(b) for b, c in borders.items()]).alias("_b")
-    ).scalar()
-    placed = keyed.withColumn("_b", found).withColumn("_pr", _place(F.col("_p"), F.col("_b._pb"), count))
+        keys["t"] = "_t"
+    found = keyed.agg(_borders(keys, count).alias("_b")).scalar()
+    placed = _place(keyed.withColumn("_b", found), "_p", F.col("_b.p"), count, "_pr")
     if tie is None:
         placed = placed.withColumn("_tr", F.lit(0))
     else:
-        own = F.try_element_at("_b._pb", F.greatest("_pr", F.lit(1))) == F.col("_p")
-        placed = (
-            placed.withColumn("_own", F.coalesce(own, F.lit(False)))
-            .withColumn("_tr", F.when(F.col("_own"), _place(F.col("_t"), F.col("_b._tb"), count)).otherwise(0))
-            .withColumn("_pr", F.col("_pr") * 2 - F.col("_own").cast("int"))
-            .drop("_own")
+        own = F.try_element_at("_b.p", F.greatest("_pr", F.lit(1))) == F.col("_p")
+        placed = _place(placed.withColumn("_own", F.coalesce(own, F.lit(False))), "_t", F.col("_b.t"), count, "_tr")
+        placed = placed.withColumn("_tr", F.when(F.col("_own"), F.col("_tr")).otherwise(0)).withColumn(
+            "_pr", F.col("_pr") * 2 - F.col("_own").cast("int")
         )
-    placed = placed.drop("_b")
+    placed = placed.drop("_b", "_own")
     # At most one row per range: bounded by the number of borders, not by the data.
     before = (
         placed.groupBy("_pr", "_tr")
@@ -97,7 +119,7 @@ def global_rank(
         .withColumn("_before", F.sum("_n").over(W.orderBy("_pr", "_tr").rowsBetween(W.unboundedPreceding, -1)))
         .select("_pr", "_tr", F.coalesce("_before", F.lit(0)).alias("_before"))
     )
-    inside = W.partitionBy("_pr", "_tr").orderBy(*(order or [F.col(c) for c in borders.values()]))
+    inside = W.partitionBy("_pr", "_tr").orderBy(*(order or [F.col(c) for c in keys.values()]))
     return (
         placed.withColumn("_rn", F.row_number().over(inside))
         .join(before, ["_pr", "_tr"])
@@ -115,50 +137,50 @@ def text_codes(text: Column) -> tuple[Column, Column]:
 
 def running_before(df: DataFrame, by: Sequence[str], order: str, value: str, name: str) -> DataFrame:
     """Sum of ``value`` over the rows of the group with a smaller ``order`` (unique inside a group)."""
-    ranged = add_range(df, order).withColumn("_by", group_key(by))
-    earlier = W.partitionBy("_by").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy("_by", "_range")
-        .agg(F.sum(value).alias("_sum"))
-        .select("_by", "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    kind = "double" if df.schema[value].dataType.simpleString() in ("double", "float") else "long"
+    ranged = add_range(df, by, order).withColumn("_add", F.col(value).cast(kind)).withColumn("_head", F.lit(0))
+    earlier = group_window(by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    heads = (
+        ranged.filter(F.col("_range") > 0)
+        .groupBy(*by, "_range")
+        .agg(F.sum("_add").alias("_add"))
+        .select(*by, "_range", F.sum("_add").over(earlier).alias("_add"), F.lit(1).alias("_head"))
+        .filter(F.col("_add").isNotNull())
     )
-    inside = W.partitionBy("_by", "_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    both = ranged.unionByName(heads, allowMissingColumns=True)
+    inside = W.partitionBy(*by, "_range").orderBy(F.desc("_head"), order).rowsBetween(W.unboundedPreceding, -1)
     return (
-        ranged.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(offsets, ["_by", "_range"])
-        .withColumn(name, F.col(name) + F.col("_offset"))
-        .drop("_by", "_range", "_offset")
+        both.withColumn(name, F.coalesce(F.sum("_add").over(inside), F.lit(0)))
+        .filter(F.col("_head") == 0)
+        .drop("_range", "_add", "_head")
     )
 
 
 def previous_rows(df: DataFrame, by: Sequence[str], order: str, value: str, n: int) -> DataFrame:
     """Add ``{value}_lag1 … {value}_lag{n}`` by ascending ``order``; like ``lag`` per group, for groups of any size."""
-    ranged = add_range(df, order).withColumn("_by", group_key(by))
-    inside = W.partitionBy("_by", "_range").orderBy(order)
-    here = ranged.withColumn("_here", F.struct(F.col(value).alias("v")))
-    # One select, so that all functions share one window operator.
-    local = here.select(
-        *ranged.columns,
-        F.row_number().over(inside).alias("_rn"),
-        *[F.lag("_here", k).over(inside).alias(f"_in{k}") for k in range(1, n + 1)],
-        F.lead("_here", n).over(inside).isNull().alias("_tail"),
-    )
+    ranged = add_range(df, by, order)
+    last = W.partitionBy(*by, "_range").orderBy(F.desc(order))
     # The last n rows of every range, then the last n of all earlier ranges: a few rows per range.
-    earlier = W.partitionBy("_by").orderBy("_range").rowsBetween(-n, -1)
-    carried = (
-        local.filter("_tail")
-        .groupBy("_by", "_range")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("_last"))
-        .select("_by", "_range", F.flatten(F.collect_list("_last").over(earlier)).alias("_carry"))
+    tails = (
+        ranged.filter(F.col("_range") > 0)
+        .select(*by, "_range", F.struct(F.col(order).alias("o"), F.col(value).alias("v")).alias("_row"), order)
+        .withColumn("_rn", F.row_number().over(last))
+        .filter(F.col("_rn") <= n)
+        .groupBy(*by, "_range")
+        .agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    )
+    earlier = group_window(by).orderBy("_range").rowsBetween(-n, -1)
+    carried = F.slice(F.reverse(F.flatten(F.collect_list("_rows").over(earlier))), 1, n)
+    heads = (
+        tails.select(*by, "_range", carried.alias("_carried"))
+        .select(*by, "_range", F.explode("_carried").alias("_row"))
+        .select(*by, "_range", F.col("_row.o").alias(order), F.col("_row.v").alias(value), F.lit(True).alias("_head"))
     )
-    out = local.join(carried, ["_by", "_range"], "left")
-    for k in range(1, n + 1):
-        reach = F.col("_rn") - 1 - k
-        # A negative index counts from the end: -1 is the row just before the range.
-        brought = F.when(reach < 0, F.try_element_at("_carry", F.when(reach < 0, reach).otherwise(-1)))
-        lagged = F.when(F.col(f"_in{k}").isNotNull(), F.col(f"_in{k}.v")).otherwise(brought["v"])
-        out = out.withColumn(f"{value}_lag{k}", lagged)
-    return out.drop("_by", "_range", "_rn", "_tail", "_carry", *[f"_in{k}" for k in range(1, n + 1)])
+    both = ranged.withColumn("_head", F.lit(False)).unionByName(heads, allowMissingColumns=True)
+    inside = W.partitionBy(*by, "_range").orderBy(order)
+    # One select, so that all lags share one window operator.
+    lags = [F.lag(value, k).over(inside).alias(f"{value}_lag{k}") for k in range(1, n + 1)]
+    return both.select("*", *lags).filter(~F.col("_head")).drop("_range", "_head")
 
 
 def lookup(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalloom.operators.ranges import add_range, group_key, lookup, previous_rows, running_before
+from evalloom.operators.ranges import add_range, lookup, previous_rows, running_before
 
 # Up to this many rows per group, Spark cuts a row-number filter down before its shuffle (its default setting).
 GROUP_LIMIT = 1000
@@ -66,31 +66,36 @@ def early_stop(log: DataFrame, metric: str | None, patience: int, greater: bool
     """(run, stop_step): first step with ``patience`` evaluations since the best one, null if there is none.
 
     The running best is a maximum over (value, minus position), so equal values do not
-    count as better. It is taken inside step ranges and carried over between them.
+    count as better. Runs too large for one task are cut into step ranges, each of which
+    starts with one row that stands for the rows before it.
     """
     rows = _of_metric(log, metric).filter(F.col("value").isNotNull())
     signed = F.col("value") if greater else -F.col("value")
-    ranged = add_range(rows.select("run", "step", signed.alias("_v")), "step").withColumn("_by", group_key(["run"]))
-    inside = W.partitionBy("_by", "_range").orderBy("step")
-    upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = ranged.withColumn("_rn", F.row_number().over(inside).cast("long"))
-    here = F.struct(F.col("_v").alias("v"), (-F.col("_rn")).alias("at"))
-    local = local.withColumn("_best", F.max(here).over(upto))
-    earlier = W.partitionBy("_by").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    sums = (
-        local.groupBy("_by", "_range")
-        .agg(F.count("*").alias("_n"), F.max(here).alias("_top"))
+    ranged = add_range(rows.select("run", "step", signed.alias("_v")), ["run"], "step")
+    cut = ranged.filter(F.col("_range") > 0)
+    at = F.row_number().over(W.partitionBy("run", "_range").orderBy("step")).cast("long")
+    top = F.max(F.struct(F.col("_v").alias("v"), (-F.col("_rn")).alias("at")))
+    earlier = W.partitionBy("run").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    heads = (
+        cut.withColumn("_rn", at)
+        .groupBy("run", "_range")
+        .agg(F.count("*").alias("_n"), top.alias("_top"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .withColumn("_top", F.struct(F.col("_top.v").alias("v"), (F.col("_top.at") - F.col("_before")).alias("at")))
-        .select("_by", "_range", "_before", F.max("_top").over(earlier).alias("_carry"))
+        .select("run", "_range", F.col("_before").alias("_count"), F.max("_top").over(earlier).alias("_top"))
+        .filter(F.col("_top").isNotNull())
     )
-    best_here = F.struct(F.col("_best.v").alias("v"), (F.col("_best.at") - F.col("_before")).alias("at"))
-    waited = local.join(sums, ["_by", "_range"]).select(
-        "run",
-        "step",
-        (F.col("_before") + F.col("_rn") + F.greatest(best_here, F.col("_carry"))["at"]).alias("_since"),
+    both = ranged.withColumn("_count", F.lit(1).cast("long")).unionByName(heads, allowMissingColumns=True)
+    # The head row has no step and therefore comes first.
+    upto = W.partitionBy("run", "_range").orderBy("step").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = both.withColumn("_pos", F.sum("_count").over(upto))
+    here = F.coalesce("_top", F.struct(F.col("_v").alias("v"), (-F.col("_pos")).alias("at")))
+    waited = placed.select("run", "step", (F.col("_pos") + F.max(here).over(upto)["at"]).alias("_since"))
+    return (
+        waited.filter(F.col("step").isNotNull())
+        .groupBy("run")
+        .agg(F.min(F.when(F.col("_since") >= patience, F.col("step"))).alias("stop_step"))
     )
-    return waited.groupBy("run").agg(F.min(F.when(F.col("_since") >= patience, F.col("step"))).alias("stop_step"))
 
 
 def cadence(log: DataFrame, every: int, warmup: int = 0, cooldown: int = 0) -> DataFrame:

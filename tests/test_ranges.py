@@ -123,8 +123,11 @@ def test_names_and_sets(spark):
 def test_hot_groups_are_cut(spark):
     """A group or a value that holds nearly all rows is spread over ranges, none of which is large."""
     rows = spark.range(20000).select(F.col("id").alias("step"), F.lit("hot").alias("g"), F.lit(1.0).alias("v"))
-    ranged = ranges.add_range(rows, "step").groupBy("g", "_range").count().collect()
+    ranged = ranges.add_range(rows, ["g"], "step").groupBy("g", "_range").count().collect()
     assert len(ranged) == 8 and max(r["count"] for r in ranged) < 20000 / 4
+    mixed = rows.withColumn("g", F.when(F.col("step") % 2 == 0, F.lit(None)).otherwise(F.col("step").cast("string")))
+    parts = ranges.add_range(mixed, ["g"], "step").groupBy(F.col("g").isNull(), "_range").count().collect()
+    assert len(parts) == 9 and max(r["count"] for r in parts if r["_range"] > 0) < 20000 / 4
     plan = ranges.global_rank(rows, F.col("v"), F.col("step"), "rank")
     assert plan.agg(F.max("rank"), F.countDistinct("rank")).first()[0:2] == (20000, 20000)
     # One value for all rows: the ranks still come out of several windows, cut by the tie column.
