@@ -58,7 +58,9 @@ def add_range(df: DataFrame, by: Sequence[str], order: str, name: str = "_range"
 
     Only groups above one range's share of all rows are cut; there are fewer of them than
     ranges, so their list is broadcast. All other rows get range 0. Without grouping
-    columns everything is one group and is cut.
+    columns everything is one group and is cut. ``{name}_cut`` tells rows of cut groups:
+    filter by that, since a filter on the range itself would be pushed below the search
+    and repeat it many times over.
     """
     count = range_count(df.sparkSession)
     hot = F.lit(True)
@@ -75,8 +77,10 @@ def add_range(df: DataFrame, by: Sequence[str], order: str, name: str = "_range"
     keyed = tagged.withColumn("_cut", cut)
     found = keyed.filter(F.col("_cut").isNotNull()).agg(_borders({"b": "_cut"}, count).alias("_b")).scalar()
     placed = _place(keyed.withColumn("_b", found), "_cut", F.col("_b.b"), count, name)
-    return placed.withColumn(name, F.when(F.col("_cut").isNotNull(), F.col(name) + 1).otherwise(0)).select(
-        *df.columns, name
+    return placed.select(
+        *df.columns,
+        F.when(F.col("_cut").isNotNull(), F.col(name) + 1).otherwise(0).alias(name),
+        F.col("_cut").isNotNull().alias(f"{name}_cut"),
     )
 
 
@@ -141,7 +145,7 @@ def running_before(df: DataFrame, by: Sequence[str], order: str, value: str, nam
     ranged = add_range(df, by, order).withColumn("_add", F.col(value).cast(kind)).withColumn("_head", F.lit(0))
     earlier = group_window(by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     heads = (
-        ranged.filter(F.col("_range") > 0)
+        ranged.filter("_range_cut")
         .groupBy(*by, "_range")
         .agg(F.sum("_add").alias("_add"))
         .select(*by, "_range", F.sum("_add").over(earlier).alias("_add"), F.lit(1).alias("_head"))
@@ -152,7 +156,7 @@ def running_before(df: DataFrame, by: Sequence[str], order: str, value: str, nam
     return (
         both.withColumn(name, F.coalesce(F.sum("_add").over(inside), F.lit(0)))
         .filter(F.col("_head") == 0)
-        .drop("_range", "_add", "_head")
+        .drop("_range", "_range_cut", "_add", "_head")
     )
 
 
@@ -162,7 +166,7 @@ def previous_rows(df: DataFrame, by: Sequence[str], order: str, value: str, n: i
     last = W.partitionBy(*by, "_range").orderBy(F.desc(order))
     # The last n rows of every range, then the last n of all earlier ranges: a few rows per range.
     tails = (
-        ranged.filter(F.col("_range") > 0)
+        ranged.filter("_range_cut")
         .select(*by, "_range", F.struct(F.col(order).alias("o"), F.col(value).alias("v")).alias("_row"), order)
         .withColumn("_rn", F.row_number().over(last))
         .filter(F.col("_rn") <= n)
@@ -180,7 +184,7 @@ def previous_rows(df: DataFrame, by: Sequence[str], order: str, value: str, n: i
     inside = W.partitionBy(*by, "_range").orderBy(order)
     # One select, so that all lags share one window operator.
     lags = [F.lag(value, k).over(inside).alias(f"{value}_lag{k}") for k in range(1, n + 1)]
-    return both.select("*", *lags).filter(~F.col("_head")).drop("_range", "_head")
+    return both.select("*", *lags).filter(~F.col("_head")).drop("_range", "_range_cut", "_head")
 
 
 def lookup(

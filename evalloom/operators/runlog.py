@@ -72,7 +72,7 @@ def early_stop(log: DataFrame, metric: str | None, patience: int, greater: bool
     rows = _of_metric(log, metric).filter(F.col("value").isNotNull())
     signed = F.col("value") if greater else -F.col("value")
     ranged = add_range(rows.select("run", "step", signed.alias("_v")), ["run"], "step")
-    cut = ranged.filter(F.col("_range") > 0)
+    cut = ranged.filter("_range_cut")
     at = F.row_number().over(W.partitionBy("run", "_range").orderBy("step")).cast("long")
     top = F.max(F.struct(F.col("_v").alias("v"), (-F.col("_rn")).alias("at")))
     earlier = W.partitionBy("run").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)

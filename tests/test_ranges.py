@@ -140,3 +140,25 @@ def test_slice_filter_reaches_the_scan(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "t"))
     text = splits.split_slice(df, "train[10:20]").select("idx")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(idx,10)" in text and "LessThan(idx,20)" in text and "ReadSchema: struct<idx:bigint>" in text
+
+
+def test_plans_stay_small_with_many_ranges(spark):
+    """The range search must not be inlined into filters: its text would grow threefold per halving."""
+    from evalloom.operators import layers, runlog
+
+    log = spark.range(1000).select((F.col("id") % 2).alias("run"), F.col("id").alias("step"), F.rand(1).alias("value"))
+    log = ranges.settle(log)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2048")
+    try:
+        frames = [
+            runlog.turning_points(log),
+            runlog.early_stop(log, None, 3),
+            layers.linear_quantile(log, "value", [0.5]),
+            ranges.global_rank(log, F.col("value"), F.col("step"), "r").filter("r < 10"),
+            splits.with_index(log, "step").filter("idx < 10"),
+        ]
+        for df in frames:
+            assert len(df._jdf.queryExecution().executedPlan().toString()) < 150_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
