@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalloom.llm.words import text_bytes
+from evalloom.llm.words import byte_slices, text_bytes
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -199,18 +199,12 @@ def predict(docs: DataFrame, net: ByteNet | None, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else []
         for batch in batches:
-            column = batch.column(len(keep)).cast(pa.large_string())
-            sizes = np.diff(np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]) if len(column) else []
-            lo = 0
-            while lo < len(column):  # at most about a million bytes at once, or one text
-                hi, held = lo + 1, int(sizes[lo])
-                while hi < len(column) and held + sizes[hi] <= 1 << 20:
-                    held += int(sizes[hi])
-                    hi += 1
+            column = batch.column(len(keep))
+            for lo, hi in byte_slices(column, 1 << 20):
                 lang, score = _predict_some(net, tables, column.slice(lo, hi - lo))
                 own = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*[f"_k{i}" for i in range(len(keep))], "lang_pred", "score"])
-                lo = hi
+                names = [*[f"_k{i}" for i in range(len(keep))], "lang_pred", "score"]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=names)
 
     out = rows.mapInArrow(run, schema)
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")

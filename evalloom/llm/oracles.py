@@ -101,8 +101,8 @@ def jaccard_components() -> str:
       SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
         ELSE [array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS g FROM docs
     ), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
-    both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-    links AS (SELECT a, b FROM both JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
     reach(id, m) AS (SELECT doc_id, doc_id FROM docs UNION SELECT links.b, reach.m FROM reach JOIN links ON links.a = reach.id)
     SELECT d.doc_id, coalesce(n, 0) AS n_shingles, r.component_id
     FROM (SELECT DISTINCT doc_id FROM docs) d LEFT JOIN sizes USING (doc_id) JOIN (SELECT id AS doc_id, min(m) AS component_id FROM reach GROUP BY id) r USING (doc_id)"""

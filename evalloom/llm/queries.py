@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import chat, langid, linededup, mixing, oracles, sharding, tokens
+from evalloom.llm import chat, decontaminate, forest, jaccard, langid, linededup, lm, mixing, oracles, sharding, tokens
 from evalloom.llm.registry import query, table
 from evalloom.sources.scratch import scratch
 
@@ -59,3 +59,25 @@ def byte_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = langid.train(docs, ~held_out)
     rows = docs.withColumn("held_out", held_out)
     return langid.predict(rows, net, ["doc_id", "held_out"])
+
+
+@query("op8_lattice_scores")
+def lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, langid.fold_of(F.col("doc_id"), 10) == 0, tokenizer_path())
+
+
+@query("op7_bm25_leaks")
+def bm25_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = decontaminate.question_and_answer(table(spark, sf_dir, "benchmark"))
+    return decontaminate.find(table(spark, sf_dir, "documents"), items)
+
+
+@query("op4_signature_tree_join", oracles.jaccard_components())
+def signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+@query("op1_prefix_forest")
+def prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

@@ -42,8 +42,25 @@ def _byte_codes() -> np.ndarray:
     return _tables["codes"]
 
 
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column, A-Z lower-cased; nulls are empty."""
+def byte_slices(column: pa.Array, limit: int = SEGMENT) -> Iterator[tuple[int, int]]:
+    """Row ranges of a string column that hold about ``limit`` bytes at most, or one row."""
+    column = column.cast(pa.large_string())
+    if not len(column):
+        return
+    marks = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(marks, marks[lo] + limit, "right")) - 1)
+        hi = min(hi, len(column))
+        yield lo, hi
+        lo = hi
+
+
+def text_bytes(column: pa.Array, letters_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a string column, A-Z lower-cased; nulls are empty.
+
+    ``letters_only`` turns ASCII other than letters and digits into spaces.
+    """
     column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
@@ -54,6 +71,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + n + 1]
     data = np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]].copy()
     data[(data >= 65) & (data <= 90)] += 32
+    if letters_only:
+        letter = (data >= 97) & (data <= 122) | (data >= 48) & (data <= 57) | (data >= 128)
+        data[~letter] = 32
     return data, offsets - offsets[0]
 
 
@@ -79,9 +99,9 @@ def _pieces(data: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words_of(column: pa.Array, letters_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, start, end, hash, text number) of every word of a string column, in order."""
-    data, offsets = text_bytes(column)
+    data, offsets = text_bytes(column, letters_only)
     cuts = offsets[:-1]
     starts, ends, hashes = [], [], []
     for lo, hi in _pieces(data, cuts):
