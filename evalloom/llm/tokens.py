@@ -25,6 +25,7 @@ does by default (as their ids).
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -35,10 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalloom.llm.words import byte_slices
+
 CHUNK_BITS = 8
 SUPERBLOCK = 512
 #: Distinct space-led pieces whose ids a task keeps at most; beyond it the memory starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
+#: Texts are encoded in slices of about this size (or one text).
+SLICE_BYTES = 1 << 20
 FILES_SCHEMA = "part int, row long, doc_id long, offset long, n_tokens long, codes binary"
 
 
@@ -106,7 +111,17 @@ def code_at(codes: bytes, i: int) -> int:
 _PLAIN = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space beyond the four plain ones, and what may start a special token: such texts go to the library whole.
 _ODD_SPACES = (0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-_ODD = re.compile("[" + "".join(map(chr, _ODD_SPACES)) + "]|<\\|")
+_ODD = re.compile("[" + "".join(map(chr, _ODD_SPACES)) + "]")
+
+
+#: White space next to a space: such texts are cut by ``_PLAIN`` instead of at every space.
+_RUNS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+#: Stands for "no space before" in the memory's keys.
+BARE = "\0"
+#: Marks that end a word as a pre-token of their own, after a word of letters below this one.
+CLOSING = ".,;:!?"
+LATIN_END = "\u0250"
+_encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
@@ -114,33 +129,106 @@ class Encoder:
 
     The byte-level pre-tokenizer never joins what stands before and after the end of a
     non-space run, so a text is the concatenation of its pieces "spaces, then
-    non-spaces", and each distinct piece needs the library once.
+    non-spaces", and each distinct piece needs the library once. Unknown pieces go there in
+    one text, parted by a special token, at which the library splits before anything else.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        special = [(t.content, i) for i, t in self.whole.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.mark = next(iter(special), None)
+        self.marks = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
         self.seen: dict[str, bytes] = {}
 
+    @staticmethod
+    def of(path: str) -> Encoder:
+        """One per worker process and file, so that later tasks find its memory."""
+        if path not in _encoders:
+            _encoders[path] = Encoder(path)
+        return _encoders[path]
+
     def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.whole.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _ODD.search(text):
-            return self._library([text])[0]
-        pieces = _PLAIN.findall(text)
-        seen = self.seen
-        fresh = [x for x in dict.fromkeys(pieces) if x not in seen]
+        if self.mark is None:
+            found = self.whole.encode_batch(texts, add_special_tokens=False)
+            return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
+        out = []
+        for lo in range(0, len(texts), 4096):
+            part = texts[lo : lo + 4096]
+            ids = np.asarray(self.whole.encode(self.mark[0].join(part), add_special_tokens=False).ids, dtype="<u4")
+            cuts = [0, *(np.flatnonzero(ids == self.mark[1]) + 1).tolist(), len(ids) + 1]
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * (b - 1)] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
+    def _pieces(self, text: str) -> list[str] | None:
+        """Pieces of a text, without their leading space or with ``BARE`` where there is none; None when only the library may cut it."""
+        if _ODD.search(text) or BARE in text or any(m in text for m in self.marks):
+            return None
+        if text[0] == " " or text[-1] == " " or any(r in text for r in _RUNS):
+            return [x[1:] if x[0] == " " else BARE + x for x in _PLAIN.findall(text)]
+        pieces = text.split(" ")
+        pieces[0] = BARE + pieces[0]
+        return pieces
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Ids of new pieces, from those of their words, line breaks and closing marks where the pre-tokenizer parts these."""
+        seen, made = self.seen, {}
+        atoms: dict[str, None] = {}
+        for piece in fresh:
+            parts = _atoms(piece)
+            made[piece] = parts
+            for part in parts:
+                if part not in seen:
+                    atoms[part] = None
+        raw = [x[1:] if x[:1] == BARE else " " + x for x in atoms]
+        seen.update(zip(atoms, self._library(raw), strict=True))
+        for piece, parts in made.items():
+            if len(parts) > 1:
+                seen[piece] = b"".join([seen[x] for x in parts])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of every text."""
+        if len(self.seen) > CACHE_PIECES:
+            self.seen.clear()
+        seen, cut = self.seen, [self._pieces(t) if t else [] for t in texts]
+        fresh: set[str] = set()
+        for pieces in cut:
+            if pieces:
+                fresh.update(pieces)
+        fresh.difference_update(seen)
         if fresh:
-            if len(seen) > CACHE_PIECES:
-                seen.clear()
-                fresh = list(dict.fromkeys(pieces))
-            seen.update(zip(fresh, self._library(fresh), strict=True))
-        return b"".join([seen[x] for x in pieces])
+            self._learn(sorted(fresh))
+        get = seen.__getitem__
+        return [
+            b"".join(map(get, pieces)) if pieces is not None
+            else np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            for text, pieces in zip(texts, cut, strict=True)
+        ]
+
+
+def _atoms(piece: str) -> list[str]:
+    if piece in ("", BARE) or piece.isalpha() or "\n\n" in piece or "\t" in piece or "\r" in piece:
+        return [piece]
+    lines = piece.split("\n")
+    out = []
+    for i, line in enumerate(lines):
+        if i:
+            out.append(BARE + "\n")
+            line = BARE + line
+        if line in ("", BARE):
+            if not i and line == "":  # a space before a line break stays with it
+                return [piece]
+            continue
+        core = line[:-1]
+        word = core[1:] if core[:1] == BARE else core
+        if line[-1] in CLOSING and word.isalpha() and max(word) < LATIN_END:
+            out += [core, BARE + line[-1]]
+        else:
+            out.append(line)
+    return out
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, parts: int | None = None) -> None:
@@ -156,20 +244,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, pa
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer)
+        encoder = Encoder.of(tokenizer)
         part, offset, row = TaskContext.get().partitionId(), 0, 0
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            out: list[tuple] = []
-            held = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(encoder.ids(text.as_py()) + end, "<u4")
-                out.append((part, row, doc_id, offset, len(ids), pack_codes(ids)))
-                offset, row, held = offset + len(ids), row + 1, held + len(ids)
-                if held > 1 << 21:
-                    yield _batch(out)
-                    out, held = [], 0
-            if out:
+            for lo, hi in byte_slices(batch.column(1), SLICE_BYTES):
+                some = batch.slice(lo, hi - lo)
+                out = []
+                for doc_id, raw in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
+                    ids = np.frombuffer(raw + end, "<u4")
+                    out.append((part, row, doc_id, offset, len(ids), pack_codes(ids)))
+                    offset, row = offset + len(ids), row + 1
                 yield _batch(out)
 
     (
