@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evalloom.functions.core import bind
 from evalloom.sources.scratch import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,9 +79,11 @@ def permuted(x: Column, n: Column, key: Column, k0: Column, k1: Column, rounds:
     """Where the keyed permutation of 0..n-1 sends ``x``."""
 
     def swap(acc: Column, r: Column) -> Column:
-        other = F.pmod(F.pmod(k0 + r * k1, n) - acc, n)
-        coin = F.substr(F.md5(F.concat_ws(":", key, r.cast("string"), F.greatest(acc, other).cast("string")).cast("binary")), F.lit(1), F.lit(1))
-        return F.when(coin < "8", other).otherwise(acc)
+        def choose(other: Column) -> Column:
+            code = F.md5(F.concat_ws(":", key, r.cast("string"), F.greatest(acc, other).cast("string")).cast("binary"))
+            return F.when(F.substr(code, F.lit(1), F.lit(1)) < "8", other).otherwise(acc)
+
+        return bind(F.pmod(F.pmod(k0 + r * k1, n) - acc, n), choose)
 
     return F.aggregate(F.array(*[F.lit(i).cast("long") for i in range(1, rounds + 1)]), x, swap)
 
@@ -142,8 +145,9 @@ def _slots(spark, sources: DataFrame, block_words: int, shard_slots: int, seed:
         .scalar()
     )
     coin = (hash_number(F.concat_ws(":", F.lit(seed), F.lit("draw"), F.col("id").cast("string"))) / F.lit(float(1 << 60)))
-    drawn = spark.range(total).select(F.floor(F.col("id") / shard_slots).alias("shard"), coin.alias("u"), ends.alias("e"))
-    sid = F.element_at(F.filter("e", lambda x: x["end"] > F.col("u")), 1)["sid"]
+    drawn = spark.range(total).select("id", F.floor(F.col("id") / shard_slots).alias("shard"), ends.alias("e"))
+    # The draw is bound to a variable, so that it is hashed once and not once per source.
+    sid = bind(coin, lambda u: F.element_at(F.filter("e", lambda x: x["end"] > u), 1)["sid"])
     counts = drawn.select("shard", sid.alias("sid")).groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("n"))
     # One draw more for every source, so that none with a target goes without.
     last = max(1, -(-total // shard_slots))
@@ -156,12 +160,16 @@ def _slots(spark, sources: DataFrame, block_words: int, shard_slots: int, seed:
     known = known.withColumn("_to", F.floor(F.col("n_slots") * F.col("_run") / F.col("_all")).cast("long"))
     known = known.withColumn("_from", F.coalesce(F.lag("_to").over(run), F.lit(0)))
     slots = known.filter("_to > _from").select("*", F.explode(F.sequence("_from", F.col("_to") - 1)).alias("slot"))
+    # The counts are few rows in few tasks; their slots are spread before each is permuted.
+    columns = ["shard", "sid", "source_size", "words", "full", "blocks", "slot"]
+    slots = slots.select(*columns).repartition("sid", "slot")
     slots = slots.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks"))).withColumn("_j", F.pmod("slot", "blocks"))
     key = F.concat_ws(":", F.lit(seed), F.col("sid").cast("string"), F.col("epoch").cast("string"))
     slots = slots.withColumn("_key", key)
     n = F.greatest("full", F.lit(1))
-    k0, k1 = (F.pmod(hash_number(F.concat_ws(":", "_key", F.lit(name))), n) for name in ("first", "step"))
-    block = F.when(F.col("_j") < F.col("full"), permuted(F.col("_j"), n, F.col("_key"), k0, k1)).otherwise(F.col("full"))
+    keys = F.struct(*[F.pmod(hash_number(F.concat_ws(":", "_key", F.lit(name))), n).alias(name) for name in ("first", "step")])
+    inner = bind(keys, lambda k: permuted(F.col("_j"), n, F.col("_key"), k["first"], k["step"]))
+    block = F.when(F.col("_j") < F.col("full"), inner).otherwise(F.col("full"))
     left = F.least(F.col("words") - F.col("epoch") * F.col("source_size"), F.col("source_size")) - F.col("_j") * block_words
     return slots.select("shard", "sid", "slot", "epoch", block.alias("block"), F.least(F.lit(block_words), left).cast("long").alias("words"))
 
