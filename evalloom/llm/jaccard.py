@@ -48,6 +48,8 @@ FAN = 8
 #: Share of a set by which the least hashes of step 2 reach beyond the shortest sound prefix.
 EXTRA = 10
 LINK = "a long, b long"
+#: Up to this many ids (eight bytes each, some tens of megabytes as a table) are broadcast, so that texts stay where they are.
+BROADCAST_IDS = 1_000_000
 
 
 def at_least(n: int, percent: int = PERCENT) -> int:
@@ -275,7 +277,9 @@ def _classes(docs: DataFrame, chunk: int) -> DataFrame:
     """(doc_id, mark, n, c) per row, stored; rows with equal ``c`` are one component, null: an empty set."""
     rows = settle(summaries(docs))
     nodes = settle(_survivors(rows))
-    ids = nodes.select(F.col("first_id").alias("_id")).distinct()
+    ids = settle(nodes.select(F.col("first_id").alias("_id")).distinct())
+    if ids.count() <= BROADCAST_IDS:  # else a shuffle join, with the same rows
+        ids = F.broadcast(ids)
     texts = docs.select(F.col("doc_id").cast("long").alias("_d"), "text").join(ids, F.col("_d").eqNullSafe(F.col("_id")), "left_semi")
     wanted = full_sets(texts).join(nodes.select(F.col("g").alias("_g")), F.col("g") == F.col("_g"), "left_semi")
     sets = settle(wanted.groupBy("g").agg(F.first("own").alias("own")).withColumn("n", F.size("own")))
