@@ -24,8 +24,8 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without letters or without a clear language. Learns from the rows that have a language."""
     net = langid.train(docs, F.lit(True))
-    known = langid.predict(docs, net, docs.columns)
-    return known.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).drop("lang_pred", "score")
+    known = langid.predict(docs, net, docs.columns, ("_lang_id", "_lang_share"))
+    return known.filter((F.col("_lang_id") != langid.UNKNOWN) & (F.col("_lang_share") >= MIN_SCORE)).drop("_lang_id", "_lang_share")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

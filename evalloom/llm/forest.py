@@ -215,7 +215,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     bounds = bounds.select(F.col("q").alias("_q"), F.try_element_at("s", F.lit(k + 1)).alias("bound"))
     again = wanted.join(bounds, F.col("gid") == F.col("_q"), "left")
     up = visit(_asked(again, shape, True))
-    pairs = _best(down.unionAll(up), keep).select(F.col("q").alias("q_gid"), F.col("gid").alias("c_gid"))
+    # A query's own entry (its copies) needs no search; with unequal norms its strings may differ from the query's.
+    own = wanted.select(F.col("gid").alias("q"), "gid", F.col("norm").alias("score"))
+    pairs = _best(down.unionAll(up).unionAll(own), keep).select(F.col("q").alias("q_gid"), F.col("gid").alias("c_gid"))
 
     # Exact scores of what was found, in a fixed order of summation.
     of = entries.select(F.col("gid").alias("q_gid"), F.col("v").alias("q_v"))

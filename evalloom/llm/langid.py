@@ -190,8 +190,8 @@ def train(docs: DataFrame, usable: Column) -> ByteNet | None:
     return net
 
 
-def predict(docs: DataFrame, net: ByteNet | None, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with ``lang_pred`` and ``score``. One pass, no shuffle."""
+def predict(docs: DataFrame, net: ByteNet | None, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with the language and its probability, called ``names``. One pass, no shuffle."""
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
     fields = [f"_k{i} {rows.schema[f'_k{i}'].dataType.simpleString()}" for i in range(len(keep))]
     schema = ", ".join([*fields, "lang_pred string", "score double"])
@@ -203,11 +203,11 @@ def predict(docs: DataFrame, net: ByteNet | None, keep: list[str]) -> DataFrame:
             for lo, hi in byte_slices(column, 1 << 20):
                 lang, score = _predict_some(net, tables, column.slice(lo, hi - lo))
                 own = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
-                names = [*[f"_k{i}" for i in range(len(keep))], "lang_pred", "score"]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=names)
+                fields = [*[f"_k{i}" for i in range(len(keep))], "lang_pred", "score"]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=fields)
 
     out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))
 
 
 def _predict_some(net: ByteNet | None, tables: list, column: pa.Array) -> tuple[list[str], list[float]]:

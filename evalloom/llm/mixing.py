@@ -202,13 +202,13 @@ def mixed_rows(rows: DataFrame, plan: Mix, row_id: str) -> DataFrame:
     as it stands in the text, joined by a line break.
     """
     per = pieces(plan).groupBy("row_id", "epoch").agg(
-        F.sum("words").alias("_n"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("_runs")
-    )
-    sizes = plan.docs.select("row_id", "size")
-    met = rows.withColumnRenamed(row_id, "row_id").join(per, "row_id").join(sizes, "row_id")
+        F.sum("words").alias("_mix_n"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("_mix_runs")
+    ).join(plan.docs.select("row_id", F.col("size").alias("_mix_size")), "row_id")
+    per = per.select(F.col("row_id").alias("_mix_row"), "_mix_n", "_mix_runs", "_mix_size")
+    met = rows.join(per, F.col(f"`{row_id}`") == F.col("_mix_row"))
     # Neighbouring runs become one: a run starts where the one before does not end.
     joined = F.aggregate(
-        "_runs", F.array().cast("array<struct<first:bigint,words:bigint>>"),
+        "_mix_runs", F.array().cast("array<struct<first:bigint,words:bigint>>"),
         lambda acc, x: F.when(
             (F.size(acc) > 0) & (F.element_at(acc, -1)["first"] + F.element_at(acc, -1)["words"] == x["first"]),
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
@@ -219,5 +219,5 @@ def mixed_rows(rows: DataFrame, plan: Mix, row_id: str) -> DataFrame:
     part = F.array_join(
         F.transform(joined, lambda x: F.array_join(F.slice(words, x["first"].cast("int") + 1, x["words"].cast("int")), " ")), "\n"
     )
-    text = F.when(F.col("_n") == F.col("size"), F.col("text")).otherwise(part)
+    text = F.when(F.col("_mix_n") == F.col("_mix_size"), F.col("text")).otherwise(part)
     return met.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in rows.columns if c != row_id])

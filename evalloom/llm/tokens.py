@@ -93,7 +93,7 @@ def unpack_codes(codes: bytes) -> np.ndarray:
 
 def code_at(codes: bytes, i: int) -> int:
     """The ``i``-th id, by chunk lookups and ranks only."""
-    value = 0
+    value, i = 0, int(i)
     for level, (n, chunks, bits, directory) in enumerate(_levels(codes)):
         if not 0 <= i < n:
             raise IndexError(i)
