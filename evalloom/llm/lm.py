@@ -25,6 +25,7 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -217,7 +218,7 @@ def _bundle(number: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         {
             "bundle": pa.array([number], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64())),
             "held": pa.array([held.tolist()], pa.list_(pa.bool_())), "ends": pa.array([ends.astype("<i8").tobytes()], pa.binary()),
-            "codes": pa.array([codes.astype("<i4").tobytes()], pa.binary()), "words": pa.array([words], pa.list_(pa.string())),
+            "codes": pa.array([zlib.compress(codes.astype("<i4").tobytes(), 1)], pa.binary()), "words": pa.array([words], pa.list_(pa.string())),
             "train": pa.array([train.tolist()], pa.list_(pa.int64())),
         }
     )
@@ -290,7 +291,7 @@ def score(docs: DataFrame, held_out: Column, vocabulary: str) -> DataFrame:
             model = (np.logaddexp(own, spare) - np.log(total)) / LN10 if v else (spelling + np.log(0.5)) / LN10
         else:
             model = (spelling + np.log(0.5)) / LN10
-        codes, ends = np.frombuffer(row["codes"], "<i4"), np.frombuffer(row["ends"], "<i8")
+        codes, ends = np.frombuffer(zlib.decompress(row["codes"]), "<i4"), np.frombuffer(row["ends"], "<i8")
         starts = np.concatenate(([0], ends[:-1]))
         sums = []
         for values in (base_of(c), model, (c > 0).astype(float)):
