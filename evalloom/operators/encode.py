@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evalloom.functions import arrays, text
 from evalloom.functions.core import or_empty, strip_ws
-from evalloom.operators.ranges import global_rank, lookup, text_codes
+from evalloom.operators.ranges import lookup, sorted_rank
 from evalloom.sources.scratch import settle
 
 TOKEN_BREAK = r"\s+"
@@ -32,10 +32,8 @@ def split_words(value: Column) -> Column:
 def build_vocab(df: DataFrame, column: str, first_id: int = 0, words: Callable[[Column], Column] = split_words) -> DataFrame:
     """Vocabulary (token, id, n): ids follow byte order of the tokens, ``n`` counts occurrences."""
     counts = df.select(F.explode(words(F.col(column))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    # The text is read once: ranking works on the written counts, and the result is written too.
-    counts = settle(counts)
-    head, rest = text_codes(F.col("token"))
-    ranked = global_rank(counts, head, rest, "id", [F.col("token")])
+    # The range shuffle samples its input first, so the text is read once for the written counts; the result is written too.
+    ranked = sorted_rank(settle(counts), [F.col("token")], "id")
     return settle(ranked.select("token", (F.col("id") - 1 + first_id).cast("int").alias("id"), "n"))
 
 
@@ -50,11 +48,15 @@ class VocabTokenizer:
     pad_id: int | None = None
     words: Callable[[Column], Column] = split_words
 
-    def encode(self, df: DataFrame, columns: Mapping[str, str], keep: Sequence[str]) -> DataFrame:
-        """Rows of ``keep`` (a unique key and what travels with it) plus id lists, given as {output: text column}."""
+    def encode(self, df: DataFrame, columns: Mapping[str, str], keep: Sequence[str], most: int | None = None) -> DataFrame:
+        """Rows of ``keep`` (a unique key and what travels with it) plus id lists, given as {output: text column}.
+
+        A list that is cut to ``most`` tokens later on is cut before its tokens are looked up.
+        """
+        first = lambda words: words if most is None else F.slice(words, 1, most)
         sides = F.array(
             *[
-                F.struct(F.lit(out).alias("side"), self.words(F.col(source)).alias("words"))
+                F.struct(F.lit(out).alias("side"), first(self.words(F.col(source))).alias("words"))
                 for out, source in columns.items()
             ]
         )
@@ -82,8 +84,9 @@ class ArrowTokenizer:
     bos_id: int | None = None
     pad_id: int | None = None
 
-    def encode(self, df: DataFrame, columns: Mapping[str, str], keep: Sequence[str]) -> DataFrame:
+    def encode(self, df: DataFrame, columns: Mapping[str, str], keep: Sequence[str], most: int | None = None) -> DataFrame:
         load = self.load
+        cut = lambda ids: ids if most is None else F.slice(ids, 1, most)
 
         @F.pandas_udf("array<int>")
         def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -91,7 +94,7 @@ class ArrowTokenizer:
             for batch in batches:
                 yield pd.Series(encode(batch.fillna("").tolist()), index=batch.index, dtype=object)
 
-        return df.select(*keep, *[ids(F.col(source)).alias(out) for out, source in columns.items()])
+        return df.select(*keep, *[cut(ids(F.col(source))).alias(out) for out, source in columns.items()])
 
 
 def render_examples(df: DataFrame, target: str = "response", strip: bool = True) -> DataFrame:
@@ -185,7 +188,7 @@ def encode_pair(
     pad = tokenizer.pad_id if tokenizer.pad_id is not None else (tokenizer.eos_id or 0)
     named = rename_label(df, label_column)
     carried = [*keep, *(["labels"] if "labels" in named.columns else [])]
-    ids = tokenizer.encode(named, {f"ids{i}": c for i, c in enumerate(columns)}, carried)
+    ids = tokenizer.encode(named, {f"ids{i}": c for i, c in enumerate(columns)}, carried, most=max_length)
     if len(columns) == 2:
         fitted = ids.withColumn("_fit", arrays.fit_longest_first(F.col("ids0"), F.col("ids1"), max_length))
         joined = F.concat("_fit.first", "_fit.second")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.functions.arrays import power_scale
-from evalloom.operators.ranges import global_rank, lookup, running_before, text_codes
+from evalloom.operators.ranges import global_rank, lookup, running_before, sorted_rank
 from evalloom.sources.scratch import settle
 
 BUDGET_METRICS = ("ratio", "raw", "sum", "max")
@@ -71,8 +71,7 @@ def rank_budget(
     if "seq" in kept.columns:
         ranked = global_rank(first, -F.col(column), -F.col("seq"), "_rank")
     else:
-        head, _ = text_codes(F.col("layer"))
-        ranked = global_rank(first, -F.col(column), -head, "_rank", [F.col("_p"), F.desc("layer"), F.desc("pos")])
+        ranked = sorted_rank(first, [F.desc(column), F.desc("layer"), F.desc("pos")], "_rank")
     budget = sizes.agg(F.sum(enough)).scalar()
     return (
         ranked.withColumn("_budget", budget)

@@ -61,26 +61,29 @@ def add_range(df: DataFrame, by: Sequence[str], order: str, name: str = "_range"
     columns everything is one group and is cut. ``{name}_cut`` tells rows of cut groups:
     filter by that, since a filter on the range itself would be pushed below the search
     and repeat it many times over.
+
+    Rows without an order value come before all others of their group, as in an ascending
+    window: in a cut group they are range 0, which later ranges count in.
     """
     count = range_count(df.sparkSession)
     hot = F.lit(True)
     tagged = df
     if by:
-        sizes = df.groupBy(*by).agg(F.count("*").alias("_size"))
-        total = df.agg(F.count("*")).scalar()
+        sizes = settle(df.groupBy(*by).agg(F.count("*").alias("_size")))
+        total = sizes.agg(F.sum("_size")).scalar()
         large = settle(
             sizes.withColumn("_total", total).filter(F.col("_size") * count > F.col("_total")).select(*by, F.lit(1).alias("_hot"))
         )
         tagged = df.join(F.broadcast(large), _same(df, large, by), "left").select(*[df[c] for c in df.columns], "_hot")
         hot = F.col("_hot").isNotNull()
     cut = F.when(hot, F.col(order))
-    keyed = tagged.withColumn("_cut", cut)
+    keyed = tagged.withColumn("_is_hot", hot).withColumn("_cut", cut)
     found = keyed.filter(F.col("_cut").isNotNull()).agg(_borders({"b": "_cut"}, count).alias("_b")).scalar()
     placed = _place(keyed.withColumn("_b", found), "_cut", F.col("_b.b"), count, name)
     return placed.select(
         *df.columns,
         F.when(F.col("_cut").isNotNull(), F.col(name) + 1).otherwise(0).alias(name),
-        F.col("_cut").isNotNull().alias(f"{name}_cut"),
+        F.col("_is_hot").alias(f"{name}_cut"),
     )
 
 
@@ -132,11 +135,26 @@ def global_rank(
     )
 
 
-def text_codes(text: Column) -> tuple[Column, Column]:
-    """Two numbers that order strings by their first and next seven UTF-8 bytes."""
-    code = F.hex(F.encode(text, "UTF-8"))
-    number = lambda start: F.conv(F.rpad(F.substr(code, F.lit(start), F.lit(14)), 14, "0"), 16, 10).cast("long")
-    return number(1), number(15)
+def sorted_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Rank from 1 over all rows by any sort key, strings with long common prefixes among them.
+
+    Spark samples the key itself for the borders of its range shuffle. Partitions are sorted
+    and written, so that counts and positions come from the same rows; what earlier
+    partitions hold is one row per partition. ``order`` should be unique: equal keys share a task.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(count, *order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id())
+    placed = settle(ranged).withColumn("_part", F.shiftright("_mid", 33))
+    before = (
+        placed.groupBy("_part")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_before", F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)))
+        .select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
+    )
+    inside = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    # One row per range partition: bounded by the setting, not by the data.
+    ranked = placed.join(F.broadcast(before), "_part")
+    return ranked.withColumn(name, (F.col("_before") + inside + 1).cast("long")).drop("_part", "_mid", "_before")
 
 
 def running_before(df: DataFrame, by: Sequence[str], order: str, value: str, name: str) -> DataFrame:

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from evalloom.operators.ranges import add_range, lookup, previous_rows, running_before
 
-# Up to this many rows per group, Spark cuts a row-number filter down before its shuffle (its default setting).
-GROUP_LIMIT = 1000
-
 
 def _groups(log: DataFrame) -> list[str]:
     return ["run", *(["grp"] if "grp" in log.columns else [])]
@@ -51,14 +48,11 @@ def best_checkpoint(log: DataFrame, metric: str | None, greater: bool = True) ->
 def keep_last_n(checkpoints: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` rows of every run (one row per run and step).
 
-    For a usual ``n`` Spark keeps no more than ``n`` rows per run and task before the
-    shuffle; a larger one is counted off in step ranges.
+    Counted off in step ranges, the same way for every ``n``. Rows without a step are the oldest.
     """
-    if n <= GROUP_LIMIT:
-        newest = W.partitionBy("run").orderBy(F.desc("step"))
-        return checkpoints.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= n).drop("_rn")
     columns = checkpoints.columns
-    counted = checkpoints.withColumn("_back", -F.col("step")).withColumn("_one", F.lit(1))
+    last = F.lit((1 << 63) - 1) if checkpoints.schema["step"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else F.lit(float("inf"))
+    counted = checkpoints.withColumn("_back", F.coalesce(-F.col("step"), last)).withColumn("_one", F.lit(1))
     return running_before(counted, ["run"], "_back", "_one", "_newer").filter(F.col("_newer") < n).select(*columns)
 
 

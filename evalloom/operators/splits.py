@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalloom.operators.ranges import global_rank, text_codes
+from evalloom.operators.ranges import global_rank, sorted_rank
 
 SPLIT_PATTERN = re.compile(r"\A(?P<name>[^\[]*)(?:\[(?P<range>.*?)\]*)?\Z", re.S)
 
@@ -17,8 +17,7 @@ SPLIT_PATTERN = re.compile(r"\A(?P<name>[^\[]*)(?:\[(?P<range>.*?)\]*)?\Z", re.S
 def with_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     """Positions 0, 1, 2 … by a unique key, a number or a string (in byte order)."""
     if df.schema[key].dataType.simpleString() == "string":
-        head, rest = text_codes(F.col(key))
-        ranked = global_rank(df, head, rest, name, [F.col(key)])
+        ranked = sorted_rank(df, [F.col(key)], name)
     else:
         ranked = global_rank(df, F.col(key), name=name)
     return ranked.withColumn(name, F.col(name) - 1)

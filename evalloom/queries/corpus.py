@@ -239,13 +239,14 @@ def _vocab_sql(texts: str) -> str:
     """
 
 
-def _ids_sql(rows: str, vocab: str, key: str, column: str) -> str:
-    """Id list per row key, empty where there are no tokens."""
+def _ids_sql(rows: str, vocab: str, key: str, column: str, most: int | None = None) -> str:
+    """Id list per row key, empty where there are no tokens; of the first ``most`` tokens if given."""
+    words = WORDS.format(column) if most is None else f"list_slice({WORDS.format(column)}, 1, {most})"
     return f"""
         SELECT {key}, coalesce(list(id ORDER BY pos) FILTER (id IS NOT NULL), []::INTEGER[]) AS ids FROM (
             SELECT r.{key}, r.pos, v.id FROM (
                 SELECT {key}, unnest(w) AS token, generate_subscripts(w, 1) AS pos
-                FROM (SELECT {key}, {WORDS.format(column)} AS w FROM ({rows}))) r
+                FROM (SELECT {key}, {words} AS w FROM ({rows}))) r
             JOIN ({vocab}) v ON v.token = r.token) GROUP BY 1
     """
 
@@ -403,11 +404,11 @@ PAIR_ROWS = """
 """
 PAIR_VOCAB = _vocab_sql("SELECT text AS txt FROM documents UNION ALL SELECT text FROM benchmark")
 PAIR = f"""
-    WITH r AS ({PAIR_ROWS}), v AS ({PAIR_VOCAB}),
+    WITH r AS MATERIALIZED ({PAIR_ROWS}), v AS MATERIALIZED ({PAIR_VOCAB}),
     e AS (
         SELECT r.doc_id, r.labels, coalesce(p.ids, []::INTEGER[]) AS p, coalesce(t.ids, []::INTEGER[]) AS t
-        FROM r LEFT JOIN ({_ids_sql("SELECT * FROM r", "SELECT * FROM v", "doc_id", "a")}) p ON p.doc_id = r.doc_id
-        LEFT JOIN ({_ids_sql("SELECT * FROM r", "SELECT * FROM v", "doc_id", "b")}) t ON t.doc_id = r.doc_id),
+        FROM r LEFT JOIN ({_ids_sql("SELECT * FROM r", "SELECT * FROM v", "doc_id", "a", PAIR_LENGTH)}) p ON p.doc_id = r.doc_id
+        LEFT JOIN ({_ids_sql("SELECT * FROM r", "SELECT * FROM v", "doc_id", "b", PAIR_LENGTH)}) t ON t.doc_id = r.doc_id),
     n AS (
         SELECT *, CASE WHEN len(p) + len(t) <= {PAIR_LENGTH} THEN len(p) WHEN len(t) <= {PAIR_LENGTH // 2} THEN {PAIR_LENGTH} - len(t)
                        ELSE least(len(p), {(PAIR_LENGTH + 1) // 2}) END AS np FROM e),

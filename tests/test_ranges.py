@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evalloom.operators import ranges, splits
+from evalloom.operators import ranges, runlog, splits
 
 
 @pytest.fixture(scope="module")
@@ -162,3 +162,40 @@ def test_plans_stay_small_with_many_ranges(spark):
             assert len(df._jdf.queryExecution().executedPlan().toString()) < 500_000
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def _both_ways(spark, rows, call):
+    """Results for one run ``r``: alone (cut into ranges) and among many small runs (not cut)."""
+    schema = "run string, step long, value double"
+    alone = call(spark.createDataFrame(rows, schema)).filter("run = 'r'").collect()
+    crowd = [(f"x{i}", 1, 1.0) for i in range(40 * len(rows))]
+    among = call(spark.createDataFrame(rows + crowd, schema)).filter("run = 'r'").collect()
+    return sorted(map(str, alone)), sorted(map(str, among))
+
+
+def test_null_steps_count_alike_in_cut_and_small_groups(spark):
+    rows = [("r", None, 9.0), ("r", 1, 1.0), ("r", 2, 2.0), ("r", 3, 3.0), ("r", 4, 2.0)]
+    calls = {
+        "sums": lambda df: ranges.running_before(df, ["run"], "step", "value", "before"),
+        "lags": lambda df: ranges.previous_rows(df, ["run"], "step", "value", 2),
+        "turns": runlog.turning_points,
+        "stop": lambda df: runlog.early_stop(df, None, 2),
+        "last": lambda df: runlog.keep_last_n(df, 4),
+        "many": lambda df: runlog.keep_last_n(df, 1001),
+    }
+    for name, call in calls.items():
+        cut, small = _both_ways(spark, rows, call)
+        assert cut == small, (name, cut, small)
+    kept = runlog.keep_last_n(spark.createDataFrame(rows, "run string, step long, value double"), 4)
+    assert sorted(r["step"] for r in kept.collect()) == [1, 2, 3, 4]
+    assert runlog.keep_last_n(spark.createDataFrame([("r", i, 0.0) for i in range(1100)] + [("r", None, 0.0)], "run string, step long, value double"), 1001).count() == 1001
+
+
+def test_long_common_prefixes_spread(spark):
+    frame = spark.range(20000).select(F.concat(F.lit("https://example.org/item/"), F.col("id").cast("string")).alias("key"))
+    placed = frame.repartitionByRange(8, "key").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in placed) < 20000 / 3
+    ranked = splits.with_index(frame, "key").collect()
+    assert [r["key"] for r in sorted(ranked, key=lambda r: r["idx"])] == sorted(r["key"] for r in ranked)
+    assert sorted(r["idx"] for r in ranked) == list(range(20000))
+    assert splits.with_index(frame.limit(0), "key").count() == 0
