@@ -160,9 +160,11 @@ def _slots(spark, sources: DataFrame, block_words: int, shard_slots: int, seed:
     known = known.withColumn("_to", F.floor(F.col("n_slots") * F.col("_run") / F.col("_all")).cast("long"))
     known = known.withColumn("_from", F.coalesce(F.lag("_to").over(run), F.lit(0)))
     slots = known.filter("_to > _from").select("*", F.explode(F.sequence("_from", F.col("_to") - 1)).alias("slot"))
-    # The counts are few rows in few tasks; their slots are spread before each is permuted.
+    # The counts are few rows in few tasks; their slots are spread before each is permuted. A stated number of
+    # partitions, since few bytes with much work would be coalesced to one task; the result is written, since a
+    # join on the block would push its null check, and so the permutation, below the shuffle.
     columns = ["shard", "sid", "source_size", "words", "full", "blocks", "slot"]
-    slots = slots.select(*columns).repartition("sid", "slot")
+    slots = slots.select(*columns).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sid", "slot")
     slots = slots.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks"))).withColumn("_j", F.pmod("slot", "blocks"))
     key = F.concat_ws(":", F.lit(seed), F.col("sid").cast("string"), F.col("epoch").cast("string"))
     slots = slots.withColumn("_key", key)
@@ -171,7 +173,7 @@ def _slots(spark, sources: DataFrame, block_words: int, shard_slots: int, seed:
     inner = bind(keys, lambda k: permuted(F.col("_j"), n, F.col("_key"), k["first"], k["step"]))
     block = F.when(F.col("_j") < F.col("full"), inner).otherwise(F.col("full"))
     left = F.least(F.col("words") - F.col("epoch") * F.col("source_size"), F.col("source_size")) - F.col("_j") * block_words
-    return slots.select("shard", "sid", "slot", "epoch", block.alias("block"), F.least(F.lit(block_words), left).cast("long").alias("words"))
+    return settle(slots.select("shard", "sid", "slot", "epoch", block.alias("block"), F.least(F.lit(block_words), left).cast("long").alias("words")))
 
 
 def pieces(plan: Mix) -> DataFrame:
