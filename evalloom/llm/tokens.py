@@ -40,8 +40,8 @@ from evalloom.llm.words import byte_slices
 
 CHUNK_BITS = 8
 SUPERBLOCK = 512
-#: Distinct space-led pieces whose ids a task keeps at most; beyond it the memory starts anew.
-CACHE_PIECES = 300_000
+#: Pieces, and words, whose ids a worker keeps at most; beyond it that memory starts anew.
+CACHE_PIECES = 600_000
 #: Texts are encoded in slices of about this size (or one text).
 SLICE_BYTES = 1 << 20
 FILES_SCHEMA = "part int, row long, doc_id long, offset long, n_tokens long, codes binary"
@@ -118,30 +118,45 @@ _ODD = re.compile("[" + "".join(map(chr, _ODD_SPACES)) + "]")
 _RUNS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 #: Stands for "no space before" in the memory's keys.
 BARE = "\0"
-#: Marks that end a word as a pre-token of their own, after a word of letters below this one.
-CLOSING = ".,;:!?"
+#: Pieces of characters below this one are cut into words here, by the byte-level pre-tokenizer's rule.
 LATIN_END = "\u0250"
+_LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+_WORDS = re.compile(
+    rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^ \n\t\r{_LETTERS}{_NUMBERS}]+|[ \n\t\r]+(?![^ \n\t\r])|[ \n\t\r]+"
+)
 _encoders: dict[str, Encoder] = {}
 
 
+def _byte_letters() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = sorted(set(range(256)) - set(shown))
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, with a memory of pieces.
 
     The byte-level pre-tokenizer never joins what stands before and after the end of a
     non-space run, so a text is the concatenation of its pieces "spaces, then
-    non-spaces", and each distinct piece needs the library once. Unknown pieces go there in
-    one text, parted by a special token, at which the library splits before anything else.
+    non-spaces". Latin pieces are cut into words and each new word goes to the library's merge
+    model; other pieces go to the whole library. Texts with rare white space or special tokens, and all
+    texts of a vocabulary with another pre-tokenizer or a normalizer, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        special = [(t.content, i) for i, t in self.whole.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
-        self.mark = next(iter(special), None)
+        self.model, cutter = self.whole.model, self.whole.pre_tokenizer
+        self.by_piece = (
+            isinstance(cutter, pre_tokenizers.ByteLevel) and cutter.use_regex and not cutter.add_prefix_space and self.whole.normalizer is None
+        )
+        self.letters = _byte_letters()
         self.marks = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
         self.seen: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -150,22 +165,12 @@ class Encoder:
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        if self.mark is None:
-            found = self.whole.encode_batch(texts, add_special_tokens=False)
-            return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
-        out = []
-        for lo in range(0, len(texts), 4096):
-            part = texts[lo : lo + 4096]
-            ids = np.asarray(self.whole.encode(self.mark[0].join(part), add_special_tokens=False).ids, dtype="<u4")
-            cuts = [0, *(np.flatnonzero(ids == self.mark[1]) + 1).tolist(), len(ids) + 1]
-            raw = ids.tobytes()
-            out += [raw[4 * a : 4 * (b - 1)] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return out
+    def _library(self, text: str) -> bytes:
+        return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _pieces(self, text: str) -> list[str] | None:
         """Pieces of a text, without their leading space or with ``BARE`` where there is none; None when only the library may cut it."""
-        if _ODD.search(text) or BARE in text or any(m in text for m in self.marks):
+        if not self.by_piece or _ODD.search(text) or BARE in text or any(m in text for m in self.marks):
             return None
         if text[0] == " " or text[-1] == " " or any(r in text for r in _RUNS):
             return [x[1:] if x[0] == " " else BARE + x for x in _PLAIN.findall(text)]
@@ -173,62 +178,32 @@ class Encoder:
         pieces[0] = BARE + pieces[0]
         return pieces
 
-    def _learn(self, fresh: list[str]) -> None:
-        """Ids of new pieces, from those of their words, line breaks and closing marks where the pre-tokenizer parts these."""
-        seen, made = self.seen, {}
-        atoms: dict[str, None] = {}
-        for piece in fresh:
-            parts = _atoms(piece)
-            made[piece] = parts
-            for part in parts:
-                if part not in seen:
-                    atoms[part] = None
-        raw = [x[1:] if x[:1] == BARE else " " + x for x in atoms]
-        seen.update(zip(atoms, self._library(raw), strict=True))
-        for piece, parts in made.items():
-            if len(parts) > 1:
-                seen[piece] = b"".join([seen[x] for x in parts])
+    def _word(self, word: str) -> bytes:
+        found = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        raw = self.words[word] = struct.pack(f"<{len(found)}I", *found)
+        return raw
+
+    def _piece(self, piece: str) -> bytes:
+        text = piece[1:] if piece[:1] == BARE else " " + piece
+        if not (text.isascii() or max(text) < LATIN_END):
+            return self._library(text)
+        known = self.words
+        return b"".join([known.get(w) or self._word(w) for w in _WORDS.findall(text)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
-        if len(self.seen) > CACHE_PIECES:
-            self.seen.clear()
+        for memory in (self.seen, self.words):
+            if len(memory) > CACHE_PIECES:
+                memory.clear()
         seen, cut = self.seen, [self._pieces(t) if t else [] for t in texts]
         fresh: set[str] = set()
         for pieces in cut:
             if pieces:
                 fresh.update(pieces)
-        fresh.difference_update(seen)
-        if fresh:
-            self._learn(sorted(fresh))
+        for piece in fresh.difference(seen):
+            seen[piece] = self._piece(piece)
         get = seen.__getitem__
-        return [
-            b"".join(map(get, pieces)) if pieces is not None
-            else np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            for text, pieces in zip(texts, cut, strict=True)
-        ]
-
-
-def _atoms(piece: str) -> list[str]:
-    if piece in ("", BARE) or piece.isalpha() or "\n\n" in piece or "\t" in piece or "\r" in piece:
-        return [piece]
-    lines = piece.split("\n")
-    out = []
-    for i, line in enumerate(lines):
-        if i:
-            out.append(BARE + "\n")
-            line = BARE + line
-        if line in ("", BARE):
-            if not i and line == "":  # a space before a line break stays with it
-                return [piece]
-            continue
-        core = line[:-1]
-        word = core[1:] if core[:1] == BARE else core
-        if line[-1] in CLOSING and word.isalpha() and max(word) < LATIN_END:
-            out += [core, BARE + line[-1]]
-        else:
-            out.append(line)
-    return out
+        return [b"".join(map(get, pieces)) if pieces is not None else self._library(text) for text, pieces in zip(texts, cut, strict=True)]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, parts: int | None = None) -> None:

@@ -92,7 +92,7 @@ def test_encoder_equals_library():
     from tokenizers import Tokenizer
 
     path, rng = tokenizer_path(), random.Random(1)
-    parts = ["a", "B", " ", "  ", "\n", "\t", "!", "'s", "é", "1", "\xa0", " ", "\x1c", "\r", "<|", "<|endoftext|>", "word", "日", ".", ",", "a.", "\0", "\n\n", "b.\nC"]
+    parts = ["a", "B", " ", "  ", "\n", "\t", "!", "'s", "é", "1", "\xa0", " ", "\x1c", "\r", "<|", "<|endoftext|>", "word", "日", ".", ",", "a.", "\0", "\n\n", "b.\nC", "²", "½", "×", "ª", "\u01c5", "\u024f", "\u0250", "\xad", "'ll", "'S", "ab12", "#$"]
     cases = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(6000)]
     want = [x.ids for x in Tokenizer.from_file(path).encode_batch(cases, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u4").tolist() for x in tokens.Encoder(path).encode(cases)] == want
