@@ -434,6 +434,21 @@ def test_lattice_sums_all_segmentations():
     assert np.allclose(counts, want)
 
 
+def test_text_score_draws_on_earlier_words():
+    rng = random.Random(3)
+    model = np.log10([0.4, 0.3, 0.2])
+    for n in (0, 1, 7, 40):
+        codes = np.array([rng.randrange(3) for _ in range(n)], np.int64)
+        ways = []
+        for prior in lm.PRIORS:
+            p = 1.0
+            for t, w in enumerate(codes):
+                p *= (prior * 10 ** model[w] + list(codes[:t]).count(w)) / (prior + t)
+            ways.append(p * prior * 0.1 / (prior + n))
+        assert math.isclose(lm.text_score(codes, model, -1.0), math.log10(sum(ways) / len(ways)), rel_tol=1e-9)
+    assert lm.seen_before(np.array([0, 1, 1, 2, 0, 1])).tolist() == [0, 0, 1, 0, 1, 2]
+
+
 def test_scores(spark, docs, texts, odd, none):
     held = langid.fold_of(F.col("doc_id"), 10) == 0
     rows = {r["doc_id"]: r for r in lm.score(docs, held, tokenizer_path()).collect()}
