@@ -14,6 +14,8 @@ from evalloom.functions.formats import format_10g
 LEADERBOARD_KEYS = ("base_model", "dataset_name", "init_lora_weights", "extra", "r", "lora_alpha")
 MACRO_KEYS = ("base_model", "init_lora_weights", "extra", "r", "lora_alpha")
 SOURCE = "source_path"
+#: A cast alone would also read a type suffix, as in ``1d``.
+NUMBER = r"(?i)^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|nan|inf|infinity)$"
 
 
 def clean_key(name: str) -> Column:
@@ -27,7 +29,7 @@ def parsed_metric(df: DataFrame, name: str) -> Column:
         return F.col(name).cast("double")
     text = strip_ws(or_empty(F.col(name)))
     return F.coalesce(
-        text.try_cast("double"),
+        F.when(text.rlike(NUMBER), text.try_cast("double")),
         F.raise_error(F.concat(F.lit(f"no number in {name}: '"), text, F.lit("'"))).cast("double"),
     )
 

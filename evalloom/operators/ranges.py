@@ -211,9 +211,10 @@ def lookup(
     """Join a lookup table (unique on ``on``) whose ``weight`` says how many rows each key stands for.
 
     Keys above 1/10,000 of all rows, of which there are at most 10,000, are broadcast;
-    the others are shuffled. Rows that found a heavy key are spread by their source
-    partition in that shuffle, so no key becomes one large task. The table is read three
-    times, so it is written out first unless it is ``stored`` already.
+    the others are shuffled. Rows that found a heavy key, and rows with a null in ``on`` (which
+    match nothing), are spread by their source partition in that shuffle. A hot key absent from
+    the table is left to Spark's adaptive skew join. The table is read three times, so it is
+    written out first unless it is ``stored`` already.
     """
     on = list(on)
     table = table if stored else settle(table)
@@ -225,7 +226,10 @@ def lookup(
     rare = weighed.filter(~is_heavy).select(
         *on, F.lit(0).alias("_salt"), F.struct(*values, F.lit(1).alias("_hit")).alias("_rare")
     )
-    spread = F.when(F.col("_heavy").isNull(), 0).otherwise(1 + F.spark_partition_id())
+    settled = F.col("_heavy").isNotNull()
+    for name in on:
+        settled = settled | F.col(name).isNull()
+    spread = F.when(settled, 1 + F.spark_partition_id()).otherwise(0)
     joined = df.join(F.broadcast(heavy), on, "left").withColumn("_salt", spread).join(rare, [*on, "_salt"], "left")
     found = F.coalesce("_heavy", "_rare")
     if how == "inner":

@@ -59,7 +59,7 @@ def result_rows(
     ``metrics`` holds the key and one column per metric, each prefixed ``metric_``.
     ``runs`` may hold base_model, dataset_name, subset, timestamp, init_lora_weights,
     extra, seed, run_time and a struct ``adapter`` that fills in model and
-    initialisation. A ``subset`` that is blank everywhere is left out.
+    initialisation. A blank ``subset`` is null; the column stays, since dropping it would read the data first.
     """
     names = [c for c in metrics.columns if c not in on]
     joined = runs.join(metrics, list(on))

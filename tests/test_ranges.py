@@ -199,3 +199,12 @@ def test_long_common_prefixes_spread(spark):
     assert [r["key"] for r in sorted(ranked, key=lambda r: r["idx"])] == sorted(r["key"] for r in ranked)
     assert sorted(r["idx"] for r in ranked) == list(range(20000))
     assert splits.with_index(frame.limit(0), "key").count() == 0
+
+
+def test_lookup_spreads_null_keys(spark):
+    rows = spark.range(40000, numPartitions=8).select(F.when(F.col("id") % 4 == 0, F.col("id")).alias("k"), "id")
+    table = rows.filter("k is not null").groupBy("k").agg(F.count("*").alias("n")).withColumn("name", F.lit("x"))
+    out = ranges.lookup(rows, table, ["k"], "n")
+    assert out.filter(F.col("name").isNotNull() != F.col("k").isNotNull()).count() == 0 and out.count() == 40000
+    parts = out.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in parts) < 40000 / 2

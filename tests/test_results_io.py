@@ -317,3 +317,12 @@ def test_streams(spark, folder):
         streams.encode_stream(examples, table)
     streams.write_batches(examples, lambda b: encode_sft(b, table), f"{folder}/enc2", f"{folder}/ck3").awaitTermination()
     assert spark.read.parquet(f"{folder}/enc2").count() == 4
+
+
+def test_metric_cells_are_plain_numbers(spark):
+    good = spark.createDataFrame([(" 1 ", 1.0), ("-2.5e1", -25.0), (".5", 0.5), ("3.", 3.0), ("inf", float("inf"))], "m string, want double")
+    assert all(r["got"] == r["want"] for r in good.withColumn("got", lb.parsed_metric(good, "m")).collect())
+    for text in ("1d", "2f", "", "0x1", None):
+        df = spark.createDataFrame([(text,)], "m string")
+        with pytest.raises(Exception, match="no number"):
+            df.select(lb.parsed_metric(df, "m")).collect()
