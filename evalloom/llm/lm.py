@@ -43,7 +43,9 @@ from evalloom.llm.words import U64, mix, words_of
 from evalloom.sources.scratch import settle
 
 BUNDLE_BYTES = 8 << 20
+#: Bytes of a piece's lookup code. Longer pieces are looked up by their first bytes and then compared whole.
 PIECE_BYTES = 8
+FAR_STARTS = 1 << 14
 ROUNDS = 3
 CELLS = 1 << 20
 #: Weights, in words, that the corpus may have against a text's own earlier words.
@@ -52,7 +54,7 @@ LN10 = float(np.log(10))
 
 
 def read_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
-    """Pieces (lower-cased, without white space, up to eight bytes, all single bytes) of a byte-level
+    """Pieces (lower-cased, without white space, of any length, all single bytes) of a byte-level
     vocabulary file of the tokenizers library, with log weights from their ranks."""
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
@@ -63,7 +65,7 @@ def read_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
         if not all(c in letters for c in piece):
             continue
         raw = bytes(letters[c] for c in piece).lower().strip(b" \t\n\x0b\x0c\r")
-        if raw and len(raw) <= PIECE_BYTES and not any(b == 32 or 9 <= b <= 13 for b in raw):
+        if raw and not any(b == 32 or 9 <= b <= 13 for b in raw):
             weight[raw] = weight.get(raw, 0.0) + 1.0 / (rank + 10)
     pieces = sorted(weight)
     found = np.array([weight[p] for p in pieces])
@@ -88,10 +90,46 @@ class Lattice:
             hint = np.zeros(1 << 20, bool)
             hint[(mix(keys) >> U64(44)).astype(np.int64)] = True
             self.tables.append((keys, np.array([i for _, i in own], np.int64), hint))
-
-    def _steps(self, cells: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For every piece length: piece numbers (-1: none) by word and start."""
+        # Longer pieces by the code of their first bytes; all bytes of them one after another.
+        far = sorted((int.from_bytes(p[:PIECE_BYTES], "little"), i) for i, p in enumerate(self.pieces) if len(p) > PIECE_BYTES)
+        self.heads, self.head_first = np.unique(np.array([k for k, _ in far], U64), return_index=True)
+        self.head_first = np.append(self.head_first, len(far))
+        self.far = np.array([i for _, i in far], np.int64)
+        self.far_sizes = np.array([len(self.pieces[i]) for i in self.far], np.int64)
+        self.far_bytes = np.frombuffer(b"".join(self.pieces[i] for i in self.far), np.uint8)
+        self.far_start = np.cumsum(self.far_sizes) - self.far_sizes
+        self.head_hint = np.zeros(1 << 20, bool)
+        self.head_hint[(mix(self.heads) >> U64(44)).astype(np.int64)] = True
+
+    def _far_steps(self, cells: np.ndarray, sizes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Uses of pieces longer than ``PIECE_BYTES`` as (word, start, end, piece), by the codes of all starts."""
+        row, col = np.nonzero(self.head_hint[(mix(code) >> U64(44)).astype(np.int64)] & (np.arange(code.shape[1]) + PIECE_BYTES < sizes[:, None]))
+        asked = code[row, col]
+        place = np.minimum(np.searchsorted(self.heads, asked), len(self.heads) - 1)
+        hit = self.heads[place] == asked
+        row, col, place = row[hit], col[hit], place[hit]
+        found = [np.zeros((4, 0), np.int32)]
+        # In steps, so that one very long word does not hold all its comparisons at once.
+        for lo in range(0, len(row), FAR_STARTS):
+            head = place[lo : lo + FAR_STARTS]
+            n = self.head_first[head + 1] - self.head_first[head]
+            r, c = np.repeat(row[lo : lo + FAR_STARTS], n), np.repeat(col[lo : lo + FAR_STARTS], n)
+            own = np.repeat(self.head_first[head] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            fits = c + self.far_sizes[own] <= sizes[r]
+            r, c, own = r[fits], c[fits], own[fits]
+            same = np.zeros(len(own), bool)
+            for size in np.unique(self.far_sizes[own]):
+                at = np.flatnonzero(self.far_sizes[own] == size)
+                rest = np.arange(PIECE_BYTES, size)
+                same[at] = (cells[r[at, None], c[at, None] + rest] == self.far_bytes[self.far_start[own[at], None] + rest]).all(axis=1)
+            r, c, own = r[same], c[same], own[same]
+            found.append(np.stack([r, c, c + self.far_sizes[own], self.far[own]]).astype(np.int32))
+        return tuple(np.concatenate(found, axis=1))
+
+    def _steps(self, cells: np.ndarray, sizes: np.ndarray) -> tuple[list[np.ndarray], tuple[np.ndarray, ...]]:
+        """For every length up to ``PIECE_BYTES``: piece numbers (-1: none) by word and start; and the uses of longer pieces."""
         n, width = cells.shape
+        far = (np.zeros(0, np.int32),) * 4
         out = []
         code = np.zeros((n, width), U64)
         for size in range(1, min(PIECE_BYTES, width) + 1):
@@ -106,10 +144,15 @@ class Lattice:
                 hit = keys[place] == asked
                 found[row[hit], col[hit]] = numbers[place[hit]]
             out.append(found)
-        return out
+        if len(self.far) and width > PIECE_BYTES:
+            far = self._far_steps(cells, sizes, code)
+        return out, far
 
-    def forward(self, cells: np.ndarray, sizes: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+    def forward(self, cells: np.ndarray, sizes: np.ndarray, steps: list[np.ndarray], far: tuple[np.ndarray, ...]) -> np.ndarray:
         n, width = cells.shape
+        order = np.argsort(far[2], kind="stable")
+        row, col, end, long = (x[order] for x in far)
+        first = np.searchsorted(end, np.arange(width + 2))
         alpha = np.full((n, width + 1), -np.inf)
         alpha[:, 0] = 0
         for at in range(1, width + 1):
@@ -122,12 +165,14 @@ class Lattice:
             safe = np.where(np.isfinite(top), top, 0)
             with np.errstate(divide="ignore"):
                 alpha[:, at] = np.log(np.exp(ways - safe).sum(axis=0)) + safe
+            own = slice(first[at], first[at + 1])
+            np.logaddexp.at(alpha[:, at], row[own], self.scores[long[own]] + self.go_on + alpha[row[own], col[own]])
         return alpha
 
     def log_probability(self, words: list[bytes]) -> np.ndarray:
         out = np.zeros(len(words))
         for rows, cells, sizes in _grids(words):
-            alpha = self.forward(cells, sizes, self._steps(cells, sizes))
+            alpha = self.forward(cells, sizes, *self._steps(cells, sizes))
             out[rows] = alpha[np.arange(len(rows)), sizes] + self.stop
         return out
 
@@ -135,9 +180,12 @@ class Lattice:
         """Expected uses of every piece over words, each counted once."""
         total = np.zeros(len(self.pieces))
         for rows, cells, sizes in _grids(words):
-            steps = self._steps(cells, sizes)
-            alpha = self.forward(cells, sizes, steps)
+            steps, far = self._steps(cells, sizes)
+            alpha = self.forward(cells, sizes, steps, far)
             n, width = cells.shape
+            order = np.argsort(far[1], kind="stable")
+            row, col, end, long = (x[order] for x in far)
+            first = np.searchsorted(col, np.arange(width + 1))
             beta = np.full((n, width + 1), -np.inf)
             beta[np.arange(n), sizes] = 0
             whole = alpha[np.arange(n), sizes]
@@ -155,6 +203,12 @@ class Lattice:
                 safe = np.where(np.isfinite(top), top, 0)
                 with np.errstate(divide="ignore"):
                     beta[:, at] = np.log(np.exp(ways - safe).sum(axis=0)) + safe
+                own = slice(first[at], first[at + 1])
+                arc = self.scores[long[own]] + self.go_on + beta[row[own], end[own]]
+                use = np.isfinite(arc) & np.isfinite(alpha[row[own], at])
+                share = np.exp(alpha[row[own], at][use] + arc[use] - whole[row[own]][use])
+                total += np.bincount(long[own][use], share, len(total))
+                np.logaddexp.at(beta[:, at], row[own], arc)
             del rows
         return total
 

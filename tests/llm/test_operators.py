@@ -434,6 +434,23 @@ def test_lattice_sums_all_segmentations():
     assert np.allclose(counts, want)
 
 
+def test_lattice_keeps_pieces_over_eight_bytes():
+    pieces = sorted([b"a", b"b", b"ab", b"abababab", b"ababababa", b"abababababab", b"bababababa" * 2])
+    prob = dict(zip(pieces, (0.2, 0.15, 0.25, 0.1, 0.1, 0.1, 0.1)))
+    lattice = lm.Lattice(pieces, np.log(list(prob.values())), math.log(0.6), math.log(0.4))
+
+    def ways(w):
+        return [[]] if not w else [[p, *rest] for p in pieces if w.startswith(p) for rest in ways(w[len(p) :])]
+
+    cases = [b"ababababa", b"abababab", b"abababababab", b"b" + b"ababababa" * 2, b"bababababa" * 2 + b"a", b"ababababx"]
+    weights = [[math.prod(prob[p] * 0.6 for p in way) for way in ways(w)] for w in cases]
+    got = np.exp(lattice.log_probability(cases))
+    assert np.allclose(got, [sum(x) * 0.4 for x in weights], rtol=1e-9, atol=0)
+    want = [sum(x * way.count(p) / sum(own) for w, own in zip(cases, weights) for way, x in zip(ways(w), own)) for p in pieces]
+    assert np.allclose(lattice.expected_counts(cases[:-1]), want)
+    assert {b"government", b"information", b"different", b"community"} <= set(lm.read_pieces(tokenizer_path())[0])
+
+
 def test_text_score_draws_on_earlier_words():
     rng = random.Random(3)
     model = np.log10([0.4, 0.3, 0.2])
