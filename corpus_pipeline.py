@@ -34,8 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts that hold a test item's question and answer."""
-    return decontaminate.clean(docs, decontaminate.question_and_answer(table(spark, sf_dir, "benchmark")))
+    """Drop texts that hold a test item's question and answer, or most of the item as one."""
+    return decontaminate.clean(docs, decontaminate.question_and_answer(table(spark, sf_dir, "benchmark")), whole=True)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

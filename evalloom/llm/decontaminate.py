@@ -12,6 +12,8 @@ as may be missing. Nothing that would be verified is therefore lost, and no resu
 
 Verification counts the question's and the answer's five-word shingles in the passage: both
 shares must reach ``OVERLAP``. A part with fewer words is one shingle; an empty part asks for nothing.
+Where the answer is only derived from the item's text (``whole``), a passage that holds that share of the whole
+item's shingles is accepted too: a word changed in a short last sentence does not hide the copy.
 
 Words are runs of letters, digits and non-ASCII bytes with A-Z lower-cased, so case and punctuation do not matter.
 
@@ -70,6 +72,7 @@ class Index:
     block_low: np.ndarray
     question: list[np.ndarray]
     answer: list[np.ndarray]
+    both: list[np.ndarray]
     parts: list[tuple[int, int]]
     stride: int
 
@@ -82,8 +85,8 @@ class Index:
         return self._dense
 
 
-def build_index(rows: list[tuple], overlap: float = OVERLAP) -> Index | None:
-    """Index of (item_id, question, answer) rows."""
+def build_index(rows: list[tuple], overlap: float = OVERLAP, whole: bool = False) -> Index | None:
+    """Index of (item_id, question, answer) rows; with ``whole`` an item's text as one also counts."""
     items = []
     for item_id, question, answer in rows:
         q, a = _sequence(question), _sequence(answer)
@@ -96,22 +99,24 @@ def build_index(rows: list[tuple], overlap: float = OVERLAP) -> Index | None:
     terms, df = np.unique(np.concatenate([t for t, _ in counted]), return_counts=True)
     idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
     norm = K1 * (1 - B + B * sizes / sizes.mean())
-    item_terms, impacts, thresholds, question, answer, parts = [], [], [], [], [], []
+    item_terms, impacts, thresholds, question, answer, both, parts = [], [], [], [], [], [], []
     for i, ((_, q, a), (own, tf)) in enumerate(zip(items, counted, strict=True)):
         at = np.searchsorted(terms, own)
         impact = idf[at] * tf * (K1 + 1) / (tf + norm[i])
-        missing, shingles = 0, []
-        for part in (q, a):
+        may_miss, shingles = [], []
+        for part in (q, a, np.concatenate([q, a]) if whole else q[:0]):
             found = _shingles(part)
             shingles.append(found)
             # Every missing word costs at least one shingle; a repeated shingle may cost several words.
             runs = max(0, len(part) - SHINGLE + 1)
-            missing += int((1 - overlap) * len(found) + SLACK) + max(0, runs - len(found))
+            may_miss.append(int((1 - overlap) * len(found) + SLACK) + max(0, runs - len(found)))
+        missing = max(may_miss[0] + may_miss[1], may_miss[2])
         item_terms.append(at)
         impacts.append(impact)
         thresholds.append(impact.sum() - np.sort(impact)[::-1][:missing].sum() - SLACK)
         question.append(shingles[0])
         answer.append(shingles[1])
+        both.append(shingles[2])
         parts.append((len(q), len(a)))
     # Items of like vocabulary share a block: by their rarest words.
     order = sorted(range(len(items)), key=lambda i: (int(item_terms[i][np.argmax(impacts[i])]), i))
@@ -126,7 +131,7 @@ def build_index(rows: list[tuple], overlap: float = OVERLAP) -> Index | None:
     hint[(terms >> U64(44)).astype(np.int64)] = True
     return Index(
         [items[i][0] for i in order], terms, hint, item_terms, impacts, thresholds, block_max.max(axis=1), block_max,
-        np.minimum.reduceat(thresholds, np.arange(0, len(order), BLOCK_ITEMS)), pick(question), pick(answer), pick(parts),
+        np.minimum.reduceat(thresholds, np.arange(0, len(order), BLOCK_ITEMS)), pick(question), pick(answer), pick(both), pick(parts),
         max(32, int(np.ceil(1.25 * sizes.max()))),
     )
 
@@ -183,14 +188,16 @@ def hits(column: pa.Array, index: Index, overlap: float = OVERLAP) -> list[tuple
                 for found, words in ((index.question[i], index.parts[i][0]), (index.answer[i], index.parts[i][1])):
                     there = chain_hash(run, min(SHINGLE, words)) if words else found
                     shares.append(float(np.isin(found, there).mean()) if words else 1.0)
-                if min(shares) >= overlap - 1e-9:
+                as_one = index.both[i]
+                held = np.isin(as_one, chain_hash(run, min(SHINGLE, sum(index.parts[i])))).mean() if len(as_one) else 0.0
+                if max(min(shares), held) >= overlap - 1e-9:
                     entry = (min(shares), sum(shares), score, -begin)
                     if (text, i) not in best or entry > best[text, i][0]:
                         best[text, i] = (entry, (text, i, score, *shares, begin))
     return [x for _, x in sorted(best.values(), key=lambda v: v[1][:2])]
 
 
-def index_parts(items: DataFrame) -> Iterator[Index]:
+def index_parts(items: DataFrame, overlap: float = OVERLAP, whole: bool = False) -> Iterator[Index]:
     """Index parts of ``item_id, question, answer``; one part is at the driver at a time."""
     rows = items.select("item_id", "question", "answer")
     waiting: list[tuple] = []
@@ -198,23 +205,23 @@ def index_parts(items: DataFrame) -> Iterator[Index]:
     for r in rows.toLocalIterator():
         size = len((r["question"] or "").split()) + len((r["answer"] or "").split())
         if waiting and (len(waiting) == PART_ITEMS or words + size > PART_WORDS):
-            if made := build_index(waiting):
+            if made := build_index(waiting, overlap, whole):
                 yield made
             waiting, words = [], 0
         waiting.append((r["item_id"], r["question"], r["answer"]))
         words += size
-    if waiting and (made := build_index(waiting)):
+    if waiting and (made := build_index(waiting, overlap, whole)):
         yield made
 
 
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_word long"
 
 
-def find(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP) -> DataFrame:
-    """One row per contaminated document row and item. One pass over the texts per index part, no shuffle."""
+def find(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, whole: bool = False) -> DataFrame:
+    """One row per contaminated document row and item; ``whole`` for derived answers. One pass over the texts per index part, no shuffle."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     out = None
-    for index in index_parts(items):
+    for index in index_parts(items, overlap, whole):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
@@ -233,12 +240,12 @@ def find(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP) -> DataFra
     return docs.sparkSession.createDataFrame([], FOUND) if out is None else out
 
 
-def clean(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, whole: bool = False) -> DataFrame:
     """The rows of ``docs`` without any hit, all columns kept."""
     names = docs.columns
     numbered = docs.toDF(*[f"_{i}" for i in range(len(names))])
     place = [n.lower() for n in names].index("text")
-    for index in index_parts(items):
+    for index in index_parts(items, overlap, whole):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -70,7 +70,7 @@ def lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_bm25_leaks")
 def bm25_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = decontaminate.question_and_answer(table(spark, sf_dir, "benchmark"))
-    return decontaminate.find(table(spark, sf_dir, "documents"), items)
+    return decontaminate.find(table(spark, sf_dir, "documents"), items, whole=True)
 
 
 @query("op4_signature_tree_join", oracles.jaccard_components())

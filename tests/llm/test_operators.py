@@ -410,6 +410,28 @@ def test_decontamination(spark, docs, texts, odd, none):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find(odd, blank).collect()} == {(7, 3), (8, 3)}
 
 
+def test_one_word_edits_of_derived_answers(spark):
+    words_ = [f"w{i}" for i in range(60)]
+    listed = [(1, " ".join(words_[:30]) + ". " + " ".join(words_[30:34]) + "."), (2, " ".join(words_[34:48]) + "? " + " ".join(words_[48:]) + ".")]
+    items = decontaminate.question_and_answer(spark.createDataFrame(listed, "item_id long, text string"))
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, want = [], set()
+    for item, text in listed:
+        w = text.split()
+        for at in range(len(w)):
+            edited = [*w[:at], "other", *w[at + 1 :]]
+            rows.append((100 * item + at, " ".join(edited)))
+            if len(grams(w) & grams(edited)) >= 0.8 * len(grams(w)):
+                want.add((100 * item + at, item))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(frame, items, whole=True).collect()}
+    # The last sentence of item 1 has four words: none of them may differ where it must hold on its own.
+    assert {(100 + at, 1) for at in range(30, 34)} <= want and want <= got
+    parts = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(frame, items).collect()}
+    assert got == want | parts and not parts & {(100 + at, 1) for at in range(30, 34)}
+    assert {r["doc_id"] for r in decontaminate.clean(frame, items, whole=True).collect()} == {i for i, _ in rows} - {i for i, _ in got}
+
+
 # 8 ---------------------------------------------------------------------------------------------
 
 
