@@ -18,8 +18,10 @@ item's shingles is accepted too: a word changed in a short last sentence does no
 Words are runs of letters, digits and non-ASCII bytes with A-Z lower-cased, so case and punctuation do not matter.
 
 The items come to the driver in index parts of up to ``PART_ITEMS`` items and ``PART_WORDS`` words (or one
-item), each sent to all tasks on its own: the bound on what is broadcast is that of one part,
-however many items there are.
+item), each sent to all tasks on its own. The statistics of BM25 (items, mean length, document frequencies) are
+counted over all items beforehand and come along with each item, so scores do not depend on the parts. With
+several parts each one's hits are written before the next part is built: driver, plan and broadcast hold one
+part, however many items there are.
 
 Defined cases: null or empty texts have no passage; an item without any word, or with null text, is
 ignored; repeated items each give rows of their own; rows with null or equal doc_id are looked at
@@ -28,7 +30,7 @@ one by one; empty tables give no rows; extra columns are ignored by ``find`` and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.llm.words import U64, byte_slices, chain_hash, mix, words_of
+from evalloom.operators.ranges import lookup
+from evalloom.sources.scratch import settle
 
 SHINGLE = 5
 OVERLAP = 0.8
@@ -85,8 +89,21 @@ class Index:
         return self._dense
 
 
-def build_index(rows: list[tuple], overlap: float = OVERLAP, whole: bool = False) -> Index | None:
-    """Index of (item_id, question, answer) rows; with ``whole`` an item's text as one also counts."""
+@dataclass
+class Statistics:
+    """What BM25 needs of all items: how many have words, their mean length, and items by term for the terms of a part."""
+
+    items: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def build_index(rows: list[tuple], overlap: float = OVERLAP, whole: bool = False, known: Statistics | None = None) -> Index | None:
+    """Index of (item_id, question, answer) rows; with ``whole`` an item's text as one also counts.
+
+    Without ``known`` the rows are the whole benchmark.
+    """
     items = []
     for item_id, question, answer in rows:
         q, a = _sequence(question), _sequence(answer)
@@ -97,8 +114,10 @@ def build_index(rows: list[tuple], overlap: float = OVERLAP, whole: bool = False
     sizes = np.array([len(q) + len(a) for _, q, a in items], float)
     counted = [np.unique(np.concatenate([q, a]), return_counts=True) for _, q, a in items]
     terms, df = np.unique(np.concatenate([t for t, _ in counted]), return_counts=True)
-    idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
-    norm = K1 * (1 - B + B * sizes / sizes.mean())
+    known = known or Statistics(len(items), float(sizes.mean()), terms, df)
+    df = known.df[np.searchsorted(known.terms, terms)]
+    idf = np.log1p((known.items - df + 0.5) / (df + 0.5))
+    norm = K1 * (1 - B + B * sizes / known.mean)
     item_terms, impacts, thresholds, question, answer, both, parts = [], [], [], [], [], [], []
     for i, ((_, q, a), (own, tf)) in enumerate(zip(items, counted, strict=True)):
         at = np.searchsorted(terms, own)
@@ -197,21 +216,49 @@ def hits(column: pa.Array, index: Index, overlap: float = OVERLAP) -> list[tuple
     return [x for _, x in sorted(best.values(), key=lambda v: v[1][:2])]
 
 
-def index_parts(items: DataFrame, overlap: float = OVERLAP, whole: bool = False) -> Iterator[Index]:
-    """Index parts of ``item_id, question, answer``; one part is at the driver at a time."""
-    rows = items.select("item_id", "question", "answer")
-    waiting: list[tuple] = []
-    words = 0
+def _counted(items: DataFrame) -> tuple[DataFrame, int, float]:
+    """Items in their order with (term, df) lists of all items, the number of items with words, and their mean length."""
+    rows = settle(items.select("item_id", "question", "answer").withColumn("_row", F.monotonically_increasing_id()))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, question, answer in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                found = np.concatenate([_sequence(question), _sequence(answer)])
+                own = np.unique(found).view(np.int64)
+                if len(own):
+                    columns = [pa.array(np.full(len(own), x, np.int64)) for x in (row, len(found))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(own)], names=["_row", "_size", "_term"])
+
+    terms = settle(rows.select("_row", "question", "answer").mapInArrow(split, "_row long, _size long, _term long"))
+    facts = terms.groupBy("_row").agg(F.first("_size").alias("s")).agg(F.count(F.lit(1)), F.avg("s")).first()
+    df = terms.groupBy("_term").agg(F.count(F.lit(1)).alias("_df")).withColumn("_weight", F.col("_df"))
+    lists = lookup(terms, df, ["_term"], "_weight").groupBy("_row").agg(F.collect_list(F.struct("_term", "_df")).alias("_terms"))
+    return rows.join(lists, "_row").orderBy("_row"), int(facts[0]), float(facts[1] or 0.0)
+
+
+def index_parts(items: DataFrame, overlap: float = OVERLAP, whole: bool = False) -> Iterator[tuple[Index, bool]]:
+    """Index parts of ``item_id, question, answer`` and whether it is the only one; one part is at the driver at a time."""
+    rows, n, mean = _counted(items)
+
+    def made(waiting: list) -> Index | None:
+        pairs = dict(x for r in waiting for x in r["_terms"])
+        terms = np.array(list(pairs), np.int64).view(U64)
+        order = np.argsort(terms)
+        known = Statistics(n, mean, terms[order], np.array(list(pairs.values()), np.int64)[order])
+        return build_index([(r["item_id"], r["question"], r["answer"]) for r in waiting], overlap, whole, known)
+
+    waiting: list = []
+    words, alone = 0, True
     for r in rows.toLocalIterator():
         size = len((r["question"] or "").split()) + len((r["answer"] or "").split())
         if waiting and (len(waiting) == PART_ITEMS or words + size > PART_WORDS):
-            if made := build_index(waiting, overlap, whole):
-                yield made
+            alone = False
+            yield made(waiting), alone
             waiting, words = [], 0
-        waiting.append((r["item_id"], r["question"], r["answer"]))
+        waiting.append(r)
         words += size
-    if waiting and (made := build_index(waiting, overlap, whole)):
-        yield made
+    if waiting:
+        yield made(waiting), alone
 
 
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_word long"
@@ -221,7 +268,7 @@ def find(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, whole: boo
     """One row per contaminated document row and item; ``whole`` for derived answers. One pass over the texts per index part, no shuffle."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     out = None
-    for index in index_parts(items, overlap, whole):
+    for index, alone in index_parts(items, overlap, whole):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
@@ -236,6 +283,7 @@ def find(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, whole: boo
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         part = rows.mapInArrow(run, FOUND)
+        part = part if alone else settle(part)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], FOUND) if out is None else out
 
@@ -245,7 +293,13 @@ def clean(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, whole: bo
     names = docs.columns
     numbered = docs.toDF(*[f"_{i}" for i in range(len(names))])
     place = [n.lower() for n in names].index("text")
-    for index in index_parts(items, overlap, whole):
+    bad_texts = None
+    for index, alone in index_parts(items, overlap, whole):
+        if not alone:
+            # A text alone decides whether it goes, so the digests of those that do are enough, whatever the number of parts.
+            part = settle(numbered.select(f"_{place}").mapInArrow(_leaking(index, overlap), "_text string").select(F.sha2("_text", 256).alias("_digest")).distinct())
+            bad_texts = part if bad_texts is None else bad_texts.unionByName(part)
+            continue
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -255,9 +309,25 @@ def clean(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, whole: bo
                     yield part.filter(pa.array([i not in bad for i in range(part.num_rows)])) if bad else part
 
         numbered = numbered.mapInArrow(run, numbered.schema)
+    if bad_texts is not None:
+        numbered = numbered.join(bad_texts.distinct(), F.sha2(f"_{place}", 256) == F.col("_digest"), "left_anti")
     return numbered.toDF(*names)
 
 
+def _leaking(index: Index, overlap: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The texts with any hit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in byte_slices(batch.column(0)):
+                texts = batch.column(0).slice(lo, hi - lo)
+                bad = sorted({x[0] for x in hits(texts, index, overlap)})
+                if bad:
+                    yield pa.RecordBatch.from_arrays([texts.take(pa.array(bad))], names=["_text"])
+
+    return run
+
+
 def question_and_answer(benchmark: DataFrame) -> DataFrame:
     """(item_id, question, answer) of ``item_id, text``: the last sentence is the answer, what stands before it the question."""
     cut = r"(?s)^(.*[.?!\n])\s+(\S.*)$"

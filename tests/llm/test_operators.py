@@ -432,6 +432,18 @@ def test_one_word_edits_of_derived_answers(spark):
     assert {r["doc_id"] for r in decontaminate.clean(frame, items, whole=True).collect()} == {i for i, _ in rows} - {i for i, _ in got}
 
 
+def test_scores_do_not_depend_on_parts(spark, docs, none, monkeypatch):
+    items = decontaminate.question_and_answer(spark.read.parquet(f"{SF}/benchmark.parquet"))
+    found = lambda: {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.find(docs, items, whole=True).collect()}
+    one, kept = found(), {r["doc_id"] for r in decontaminate.clean(docs, items, whole=True).collect()}
+    monkeypatch.setattr(decontaminate, "PART_ITEMS", 7)
+    many = found()
+    assert one and set(many) == set(one) and all(math.isclose(many[k], one[k], rel_tol=1e-9) for k in one)
+    assert {r["doc_id"] for r in decontaminate.clean(docs, items, whole=True).collect()} == kept
+    nulls = docs.unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string")))
+    assert decontaminate.clean(nulls, items, whole=True).filter("text is null").count() == 2
+
+
 # 8 ---------------------------------------------------------------------------------------------
 
 
