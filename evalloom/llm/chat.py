@@ -8,8 +8,9 @@ A rendered turn is ``<|role|>`` or ``<|user:NAME|>``, a line break, the text, ``
 break. Spans cover text and end mark of the assistant's turns.
 
 Long dialogues come in parts of consecutive turns; the rendered dialogue is the parts joined in
-order, and spans count characters (code points) from the start of their part. No group is
-therefore larger than a part.
+order, and spans count characters (code points) from the start of their part. A part holds at most
+``TURNS_PER_PART`` turn numbers, so it is bounded only where turn numbers of a conversation do not repeat: all
+null turns, or all rows of one turn number, are one cell, as in the DuckDB statement.
 
 Defined cases: a null role is the speaker ``unknown``; a null text is empty; a null conv_id is a
 conversation of its own; null turns come first (part -1); equal turns are ordered by role and text
