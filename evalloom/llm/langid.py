@@ -6,8 +6,9 @@ text's probabilities are the mean over its windows, weighted by their letters; w
 letters have no say. All windows of a text count.
 
 Training takes a bounded sample: the documents with the smallest id hashes, ``DOCS_PER_LANG`` of every
-language, and of each ``WINDOWS_PER_DOC`` windows spread evenly over its whole text. At most
-``MAX_LANGS`` languages (the most frequent) are learned. These bounds, not the corpus, limit what reaches the driver.
+language, and of each ``WINDOWS_PER_DOC`` windows spread evenly over its whole text. Every language is learned: where
+they are so many that this would exceed ``DOCS_IN_ALL`` documents, these are divided equally, one of each language at
+least. These bounds and the number of languages, not the corpus, limit what reaches the driver.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0; without training rows
 every text is ``und``; rows are kept as they are, repeated or not; rows with null language are not
@@ -32,7 +33,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 DOCS_PER_LANG = 500
 WINDOWS_PER_DOC = 4
-MAX_LANGS = 64
+DOCS_IN_ALL = 32_000
 EPOCHS = 15
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -170,14 +171,15 @@ def _spread_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def train(docs: DataFrame, usable: Column) -> ByteNet | None:
     """Fit a network on rows of ``doc_id, text, lang`` where ``usable`` holds; None without any."""
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    common = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    if not common:
+    n_langs = rows.select("lang").distinct().count()
+    if not n_langs:
         return None
+    share = min(DOCS_PER_LANG, max(1, DOCS_IN_ALL // n_langs))
     # Sample by ids only, then fetch the texts: the bound holds before any text moves.
     first = W.partitionBy("lang").orderBy("_h", "doc_id")
-    ids = rows.filter(F.col("lang").isin(common)).select("lang", "doc_id", F.xxhash64("doc_id").alias("_h"))
-    ids = ids.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= DOCS_PER_LANG).select("doc_id").distinct()
-    # DOCS_PER_LANG * MAX_LANGS ids at most.
+    ids = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h"))
+    ids = ids.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= share).select("doc_id").distinct()
+    # DOCS_IN_ALL ids, or one a language, at most.
     chosen = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
     found = chosen.mapInArrow(_spread_windows, "lang string, codes binary").collect()
     langs = sorted({r["lang"] for r in found})

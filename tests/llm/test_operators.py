@@ -538,6 +538,24 @@ def test_language_id(spark, odd, none):
     assert {r["lang_pred"] for r in langid.predict(odd.drop("score"), None, ["doc_id"]).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    rng = random.Random(4)
+    names = [f"l{i:02d}" for i in range(70)]
+    word = {n: [chr(0x4E00 + 300 * i + j) for j in range(4)] for i, n in enumerate(names)}
+    rows = [(100 * i + k, " ".join(rng.choice(word[n]) * 3 for _ in range(60)), n) for i, n in enumerate(names) for k in range(5 if i < 64 else 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = langid.train(docs, F.lit(True))
+    assert net.langs == names
+    got = langid.predict(docs, net, ["lang"]).filter("lang >= 'l64'").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.5
+    # A total below the languages' full samples is shared by all of them.
+    seen = []
+    monkeypatch.setattr(langid, "DOCS_IN_ALL", 140)
+    monkeypatch.setattr(langid.ByteNet, "fit", lambda self, codes, labels: seen.append(np.bincount(labels)))
+    per_doc = langid.WINDOWS_PER_DOC
+    assert langid.train(docs, F.lit(True)).langs == names and max(seen[0]) <= 2 * per_doc and len(seen[0]) == 70
+
+
 def test_network_tables_equal_filters():
     net = langid.ByteNet(["a", "b"])
     codes = np.random.default_rng(1).integers(0, langid.N_CODES, (5, langid.WINDOW)).astype(np.int32)
