@@ -22,8 +22,13 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without letters or without a clear language. Learns from the rows that have a language."""
+    """Drop texts without letters or without a clear language. Learns from the rows that have a language.
+
+    Where there is nothing to learn from, every text with a letter stays.
+    """
     net = langid.train(docs, F.lit(True))
+    if net is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     known = langid.predict(docs, net, docs.columns, ("_lang_id", "_lang_share"))
     return known.filter((F.col("_lang_id") != langid.UNKNOWN) & (F.col("_lang_share") >= MIN_SCORE)).drop("_lang_id", "_lang_share")
 

@@ -5,14 +5,14 @@ through filters of several widths, a rectifier, the maximum over positions, and
 text's probabilities are the mean over its windows, weighted by their letters; windows without
 letters have no say. All windows of a text count.
 
-Training takes a bounded sample: the documents with the smallest id hashes, ``DOCS_PER_LANG`` of every
+Training takes a bounded sample: the rows with the smallest hashes of id and text, ``DOCS_PER_LANG`` of every
 language, and of each ``WINDOWS_PER_DOC`` windows spread evenly over its whole text. Every language is learned: where
 they are so many that this would exceed ``DOCS_IN_ALL`` documents, these are divided equally, one of each language at
 least. These bounds and the number of languages, not the corpus, limit what reaches the driver.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0; without training rows
-every text is ``und``; rows are kept as they are, repeated or not; rows with null language are not
-learned from. A row's own language, source or id never enters its prediction.
+every text is ``und``; rows are kept as they are, repeated or not; rows with null or repeated doc_id are
+learned from like others, rows with null language are not. A row's own language, source or id never enters its prediction.
 """
 
 from __future__ import annotations
@@ -175,12 +175,15 @@ def train(docs: DataFrame, usable: Column) -> ByteNet | None:
     if not n_langs:
         return None
     share = min(DOCS_PER_LANG, max(1, DOCS_IN_ALL // n_langs))
-    # Sample by ids only, then fetch the texts: the bound holds before any text moves.
-    first = W.partitionBy("lang").orderBy("_h", "doc_id")
-    ids = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h"))
-    ids = ids.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= share).select("doc_id").distinct()
-    # DOCS_IN_ALL ids, or one a language, at most.
-    chosen = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
+    # Sample by hashes only, then fetch the texts: the bound holds before any text moves. Equal rows have
+    # equal hashes; they are fetched once and repeated as often as the sample holds them.
+    keyed = rows.select("lang", F.col("doc_id").cast("string").alias("_id"), "text").select("lang", "text", F.xxhash64("_id", "text").alias("_h"))
+    first = W.partitionBy("lang").orderBy("_h")
+    ranked = keyed.select("lang", "_h").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= share)
+    # DOCS_IN_ALL rows, or one a language, at most.
+    sample = ranked.groupBy("lang", "_h").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
+    fetched = keyed.join(F.broadcast(sample), ["lang", "_h"]).groupBy("lang", "_h").agg(F.first("text").alias("text"), F.first("_copies").alias("_copies"))
+    chosen = fetched.select("lang", "text", F.explode(F.sequence(F.lit(1), "_copies"))).select("lang", "text")
     found = chosen.mapInArrow(_spread_windows, "lang string, codes binary").collect()
     langs = sorted({r["lang"] for r in found})
     if not langs:

@@ -556,6 +556,20 @@ def test_every_language_is_learned(spark, monkeypatch):
     assert langid.train(docs, F.lit(True)).langs == names and max(seen[0]) <= 2 * per_doc and len(seen[0]) == 70
 
 
+def test_language_sample_takes_rows_not_ids(spark, monkeypatch):
+    text = lambda i, s: " ".join(f"{s}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i % 10]}" for _ in range(10))
+    seen = []
+    monkeypatch.setattr(langid.ByteNet, "fit", lambda self, codes, labels: seen.append(np.bincount(labels).tolist()))
+    monkeypatch.setattr(langid, "DOCS_PER_LANG", 5)
+    # One id for all rows, no id at all, and equal rows: as many rows of each language as its share, or all it has.
+    for ids in (lambda i: 1, lambda i: None, lambda i: i):
+        rows = [(ids(i), text(i, "x"), "a") for i in range(40)] + [(ids(40 + i), text(i, "y"), "b") for i in range(3)]
+        net = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+        assert net.langs == ["a", "b"] and seen.pop() == [5, 3]
+    equal = spark.createDataFrame([(1, text(0, "x"), "a")] * 40, "doc_id long, text string, lang string")
+    assert langid.train(equal, F.lit(True)).langs == ["a"] and seen.pop() == [5]
+
+
 def test_network_tables_equal_filters():
     net = langid.ByteNet(["a", "b"])
     codes = np.random.default_rng(1).integers(0, langid.N_CODES, (5, langid.WINDOW)).astype(np.int32)

@@ -4,6 +4,7 @@ import collections
 
 import pytest
 from compare import compare, connect
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evalloom.llm import queries
@@ -57,6 +58,14 @@ def test_pipeline(spark):
     assert kept["token_codes"].count() == len(mixed)
 
 
+def test_language_stage_without_labels(spark, odd):
+    docs = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language_id(spark, docs, SF)
+    assert kept.columns == docs.columns
+    lettered = [r["text"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")]
+    assert sorted(r["text"] for r in kept.collect()) == sorted(lettered) and lettered
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd, none):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars", "score", "start")
     for frame in (docs, docs.filter("false")):
