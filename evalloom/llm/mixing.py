@@ -37,6 +37,8 @@ from evalloom.functions.core import bind
 from evalloom.sources.scratch import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word with the white space after it: joined, these are the text from its first word on.
+SPACED_WORD = WORD + r"[\x20\x09-\x0D]*"
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 LIMIT = 2
@@ -201,7 +203,7 @@ def mixed_rows(rows: DataFrame, plan: Mix, row_id: str) -> DataFrame:
     """The mixed documents with all columns of ``rows``: one row per document and pass that takes words of it.
 
     A document taken whole keeps its text; of one cut by block borders the taken runs remain, each
-    as it stands in the text, joined by a line break.
+    as it stands in the text from its first word to its last, joined by a line break.
     """
     per = pieces(plan).groupBy("row_id", "epoch").agg(
         F.sum("words").alias("_mix_n"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("_mix_runs")
@@ -217,9 +219,8 @@ def mixed_rows(rows: DataFrame, plan: Mix, row_id: str) -> DataFrame:
                 F.element_at(acc, -1)["first"].alias("first"), (F.element_at(acc, -1)["words"] + x["words"]).alias("words")))),
         ).otherwise(F.concat(acc, F.array(F.struct(x["first"].alias("first"), x["words"].alias("words"))))),
     )
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    part = F.array_join(
-        F.transform(joined, lambda x: F.array_join(F.slice(words, x["first"].cast("int") + 1, x["words"].cast("int")), " ")), "\n"
-    )
+    words = F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0))
+    run = lambda x: F.array_join(F.slice(words, x["first"].cast("int") + 1, x["words"].cast("int")), "")
+    part = F.array_join(F.transform(joined, lambda x: F.rtrim(run(x), F.lit(" \t\n\x0b\x0c\r"))), "\n")
     text = F.when(F.col("_mix_n") == F.col("_mix_size"), F.col("text")).otherwise(part)
     return met.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in rows.columns if c != row_id])

@@ -381,6 +381,24 @@ def test_mixed_rows(spark):
     assert {r["doc_id"]: r["taken"] for r in mixing.taken(plan).collect() if r["taken"]} == dict(sums)
 
 
+def test_mixed_rows_keep_white_space(spark):
+    gaps = [" ", "\n", "\t", "  ", "\n\n\t", " \x0b\r\n"]
+    rows = [(i, i, "\n " + "".join(f"d{i}w{j}{gaps[(i + j) % 6]}" for j in range(50)), "abc"[i % 3]) for i in range(12)]
+    frame = spark.createDataFrame(rows, "_row long, doc_id long, text string, source string")
+    cut = 0
+    for r in mixing.mixed_rows(frame, mixing.mix(frame, block_words=8, row_id="_row"), "_row").collect():
+        whole, w = rows[r["doc_id"]][2], split(r["text"])
+        if r["text"] == whole:
+            continue
+        place = {m.group(): m.span() for m in re.finditer(r"\S+", whole)}
+        number = lambda x: int(x.split("w")[1])
+        starts = [i for i in range(len(w)) if i == 0 or number(w[i]) != number(w[i - 1]) + 1]
+        runs = [w[i:j] for i, j in zip(starts, [*starts[1:], len(w)])]
+        assert r["text"] == "\n".join(whole[place[x[0]][0] : place[x[-1]][1]] for x in runs)
+        cut += 1
+    assert cut
+
+
 # 7 ---------------------------------------------------------------------------------------------
 
 
