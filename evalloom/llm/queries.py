@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import chat, decontaminate, forest, jaccard, langid, linededup, lm, mixing, oracles, sharding, tokens
+from evalloom.llm import chat, decontaminate, forest, jaccard, langid, linededup, lm, mixing, oracles, sharding, simhash, tokens
 from evalloom.llm.registry import query, table
 from evalloom.sources.scratch import scratch
 
@@ -81,3 +81,8 @@ def signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_prefix_forest")
 def prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op13_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
