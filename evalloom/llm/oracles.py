@@ -106,3 +106,68 @@ def jaccard_components() -> str:
     reach(id, m) AS (SELECT doc_id, doc_id FROM docs UNION SELECT links.b, reach.m FROM reach JOIN links ON links.a = reach.id)
     SELECT d.doc_id, coalesce(n, 0) AS n_shingles, r.component_id
     FROM (SELECT DISTINCT doc_id FROM docs) d LEFT JOIN sizes USING (doc_id) JOIN (SELECT id AS doc_id, min(m) AS component_id FROM reach GROUP BY id) r USING (doc_id)"""
+
+
+def ranked() -> str:
+    terms = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(ASCII_LOWER.format("coalesce(text, '')"))
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS t FROM documents),
+    size AS (SELECT r, doc_id, CAST(len(t) AS BIGINT) AS n FROM docs WHERE len(t) > 0),
+    whole AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM size),
+    held AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM docs) GROUP BY r, term),
+    found AS (SELECT term, count(*) AS df FROM held GROUP BY term),
+    items AS (SELECT row_number() OVER () AS q, item_id, {terms} AS t FROM benchmark),
+    asked AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT q, item_id, unnest(t) AS term FROM items) GROUP BY q, item_id, term),
+    weighed AS (
+      SELECT q, item_id, term, times, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM asked JOIN found USING (term), whole
+    ), scored AS (
+      SELECT q, item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // l)))) AS BIGINT) AS score
+      FROM weighed JOIN held USING (term) JOIN size USING (r), whole GROUP BY q, item_id, r, doc_id
+    )
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id ASC NULLS LAST) AS INTEGER) AS rank, doc_id, score
+    FROM scored WHERE score > 0 QUALIFY rank <= 10"""
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, by its table; the statement must have a one-row relation ``crc`` with column ``ct``."""
+    byte = f"CAST(concat('0x', substr(hex(encode({text})), CAST(2 * i + 1 AS BIGINT), 2)) AS BIGINT)"
+    step = f"xor(h >> 8, ct[CAST(xor(h & 255, b) AS BIGINT) + 1])"
+    return (
+        f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode({text}))), lambda i: {byte})), lambda h, b: {step}))"
+    )
+
+
+CRC_TABLE = """crc AS (
+      SELECT list_transform(range(256), lambda c: list_reduce(list_prepend(c, range(8)),
+        lambda h, i: CASE WHEN h & 1 = 1 THEN xor(h >> 1, 3988292384) ELSE h >> 1 END)) AS ct)"""
+
+
+def variants() -> str:
+    # Code points U+00C0 to U+00FF as one byte each: the edit distance of the engine counts bytes.
+    wide = "".join(chr(c) for c in range(0xC0, 0x100))
+    narrow = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" + "!#$%&()*+,-./:;<=>?@[]^_{|}~"[:28]
+    runs = f"regexp_extract_all({ASCII_LOWER.format('text')}, '[a-zÀ-ÿ]+')"
+    return f"""
+    WITH RECURSIVE {CRC_TABLE},
+    runs AS (
+      SELECT d, r, count(*) AS c FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest({runs}) AS r FROM documents)
+      WHERE length(r) >= 6 GROUP BY d, r
+    ), hashed AS (SELECT r, c, {crc32("concat(d, ':', r)")} AS h FROM runs, crc),
+    typed AS (SELECT CASE WHEN h % 199 = 0 THEN concat(substr(r, 1, h % length(r)), substr(r, h % length(r) + 2)) ELSE r END AS word, c FROM hashed),
+    words AS MATERIALIZED (
+      SELECT word, CAST(sum(c) AS BIGINT) AS n, length(word) AS size, translate(word, '{wide}', '{narrow}') AS bytes
+      FROM typed WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5
+    ), near AS (
+      SELECT a.word, a.n, b.word AS other, b.n AS m FROM words a JOIN words b ON b.size IN (a.size - 1, a.size, a.size + 1) AND a.word <> b.word
+      WHERE levenshtein(a.bytes, b.bytes) = 1
+    ), best AS (
+      SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word
+    ), formed AS MATERIALIZED (
+      SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * w.n THEN other END AS form, CASE WHEN m >= 5 * w.n THEN m END AS form_n
+      FROM words w LEFT JOIN best USING (word)
+    ), chains AS (
+      SELECT word, word AS root, form AS ahead FROM formed
+      UNION ALL SELECT c.word, c.ahead, f.form FROM chains c JOIN formed f ON f.word = c.ahead
+    )
+    SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, root FROM chains WHERE ahead IS NULL) USING (word)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import chat, decontaminate, forest, jaccard, langid, linededup, lm, mixing, oracles, sharding, simhash, tokens
+from evalloom.llm import chat, decontaminate, forest, jaccard, langid, lexical, linededup, lm, mixing, oracles, sharding, simhash, spelling, tokens
 from evalloom.llm.registry import query, table
 from evalloom.sources.scratch import scratch
 
@@ -86,3 +86,13 @@ def prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op12_shared_term_search", oracles.ranked())
+def shared_term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_spelling_variants", oracles.variants())
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
