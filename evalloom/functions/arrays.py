@@ -53,6 +53,17 @@ def fit_longest_first(first: Column, second: Column, budget: int) -> Column:
     return F.struct(F.slice(first, F.lit(1), keep1).alias("first"), F.slice(second, F.lit(1), keep2).alias("second"))
 
 
+def fit_halves(first: Column, second: Column, n1: Column, n2: Column, budget: int) -> Column:
+    """Struct (first, second) cut to ``budget`` tokens: the shorter list keeps half of them at most, the other the rest.
+
+    ``n1`` and ``n2`` are the lists' full lengths, in case they come cut already. Of two equally long lists the first counts as shorter.
+    """
+    shorter = F.least(n1, n2, F.lit(budget // 2))
+    keep1 = F.when(n1 + n2 <= budget, n1).when(n1 <= n2, shorter).otherwise(budget - shorter)
+    keep2 = F.when(n1 + n2 <= budget, n2).when(n1 <= n2, budget - shorter).otherwise(shorter)
+    return F.struct(F.slice(first, F.lit(1), keep1).alias("first"), F.slice(second, F.lit(1), keep2).alias("second"))
+
+
 def pad_to(ids: Column, length: Column | int, value: int) -> Column:
     length = F.lit(length) if isinstance(length, int) else length
     return F.concat(ids, F.array_repeat(F.lit(value), F.greatest(length - F.size(ids), F.lit(0)).cast("int")))

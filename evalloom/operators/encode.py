@@ -48,11 +48,17 @@ class VocabTokenizer:
     pad_id: int | None = None
     words: Callable[[Column], Column] = split_words
 
-    def encode(self, df: DataFrame, columns: Mapping[str, str], keep: Sequence[str], most: int | None = None) -> DataFrame:
+    def encode(
+        self, df: DataFrame, columns: Mapping[str, str], keep: Sequence[str], most: int | None = None, lengths: bool = False
+    ) -> DataFrame:
         """Rows of ``keep`` (a unique key and what travels with it) plus id lists, given as {output: text column}.
 
         A list that is cut to ``most`` tokens later on is cut before its tokens are looked up.
+        ``lengths`` adds the full length of every list as ``{output}_n``.
         """
+        if lengths:
+            df = df.withColumns({f"{out}_n": F.size(self.words(F.col(source))) for out, source in columns.items()})
+            keep = [*keep, *[f"{out}_n" for out in columns]]
         first = lambda words: words if most is None else F.slice(words, 1, most)
         sides = F.array(
             *[
@@ -84,7 +90,9 @@ class ArrowTokenizer:
     bos_id: int | None = None
     pad_id: int | None = None
 
-    def encode(self, df: DataFrame, columns: Mapping[str, str], keep: Sequence[str], most: int | None = None) -> DataFrame:
+    def encode(
+        self, df: DataFrame, columns: Mapping[str, str], keep: Sequence[str], most: int | None = None, lengths: bool = False
+    ) -> DataFrame:
         load = self.load
         cut = lambda ids: ids if most is None else F.slice(ids, 1, most)
 
@@ -94,7 +102,54 @@ class ArrowTokenizer:
             for batch in batches:
                 yield pd.Series(encode(batch.fillna("").tolist()), index=batch.index, dtype=object)
 
-        return df.select(*keep, *[cut(ids(F.col(source))).alias(out) for out, source in columns.items()])
+        found = df.select(*keep, *[ids(F.col(source)).alias(out) for out, source in columns.items()])
+        sizes = [F.size(out).alias(f"{out}_n") for out in columns] if lengths else []
+        return found.select(*keep, *sizes, *[cut(F.col(out)).alias(out) for out in columns])
+
+
+@dataclass(frozen=True)
+class PairTemplate:
+    """Layout of one text and of two texts among special ids.
+
+    A layout is a list of (piece, segment): the piece is ``"A"`` or ``"B"`` for a text's ids, or a special id. Each
+    text stands in it once.
+    """
+
+    single: Sequence[tuple[str | int, int]]
+    pair: Sequence[tuple[str | int, int]]
+
+    def __post_init__(self) -> None:
+        for layout, texts in ((self.single, ["A"]), (self.pair, ["A", "B"])):
+            if sorted(p for p, _ in layout if isinstance(p, str)) != texts:
+                raise ValueError(f"a layout must hold each of {texts} once: {list(layout)}")
+
+    @classmethod
+    def two_segments(cls, start: int, separator: int) -> PairTemplate:
+        """Start, first text, separator; then second text and separator as segment 1."""
+        first = [(start, 0), ("A", 0), (separator, 0)]
+        return cls(first, [*first, ("B", 1), (separator, 1)])
+
+    @classmethod
+    def one_segment(cls, start: int, end: int) -> PairTemplate:
+        """Start, first text, end; then end, second text and end, all of one segment."""
+        first = [(start, 0), ("A", 0), (end, 0)]
+        return cls(first, [*first, (end, 0), ("B", 0), (end, 0)])
+
+    def layout(self, texts: int) -> Sequence[tuple[str | int, int]]:
+        return self.pair if texts == 2 else self.single
+
+    def reserved(self, texts: int) -> int:
+        """Places that special ids take."""
+        return sum(not isinstance(p, str) for p, _ in self.layout(texts))
+
+    def lay_out(self, lists: Mapping[str, Column]) -> dict[str, Column]:
+        """``input_ids``, ``token_type_ids`` and ``special_tokens_mask`` from the texts' fitted ids."""
+        pieces = [(lists[p] if isinstance(p, str) else F.array(F.lit(p)), segment, not isinstance(p, str)) for p, segment in self.layout(len(lists))]
+        return {
+            "input_ids": F.concat(*[ids for ids, _, _ in pieces]),
+            "token_type_ids": F.concat(*[F.array_repeat(F.lit(segment), F.size(ids)) for ids, segment, _ in pieces]),
+            "special_tokens_mask": F.concat(*[F.array_repeat(F.lit(int(special)), F.size(ids)) for ids, _, special in pieces]),
+        }
 
 
 def render_examples(df: DataFrame, target: str = "response", strip: bool = True) -> DataFrame:
@@ -177,27 +232,37 @@ def encode_pair(
     max_length: int = 512,
     label_column: str = "label",
     keep: Sequence[str] = ("idx", "split"),
+    template: PairTemplate | None = None,
 ) -> DataFrame:
     """One text or a text pair to ids of exactly ``max_length``, padded, with mask and label.
 
-    A pair is cut from its longer side until it fits.
+    A pair is cut from its longer side until it fits. A ``template`` reserves the places of its special ids first, cuts
+    a pair to halves (see :func:`arrays.fit_halves`), and adds ``token_type_ids`` (padding is segment 0) and
+    ``special_tokens_mask`` (padding counts as special).
     """
     columns = [text_column] if isinstance(text_column, str) else list(text_column)
     if len(columns) != 2:
         columns = columns[:1]
+    budget = max_length - (template.reserved(len(columns)) if template else 0)
+    if budget < 0:
+        raise ValueError(f"{max_length} places cannot hold the template's {template.reserved(len(columns))} special ids")
     pad = tokenizer.pad_id if tokenizer.pad_id is not None else (tokenizer.eos_id or 0)
     named = rename_label(df, label_column)
     carried = [*keep, *(["labels"] if "labels" in named.columns else [])]
-    ids = tokenizer.encode(named, {f"ids{i}": c for i, c in enumerate(columns)}, carried, most=max_length)
+    ids = tokenizer.encode(named, {f"ids{i}": c for i, c in enumerate(columns)}, carried, most=budget, lengths=template is not None)
+    first, second = F.col("ids0"), F.col("ids1")
     if len(columns) == 2:
-        fitted = ids.withColumn("_fit", arrays.fit_longest_first(F.col("ids0"), F.col("ids1"), max_length))
-        joined = F.concat("_fit.first", "_fit.second")
+        fit = arrays.fit_halves(first, second, F.col("ids0_n"), F.col("ids1_n"), budget) if template else arrays.fit_longest_first(first, second, budget)
+        fitted, lists = ids.withColumn("_fit", fit), {"A": F.col("_fit.first"), "B": F.col("_fit.second")}
     else:
-        fitted, joined = ids, F.slice("ids0", F.lit(1), F.lit(max_length))
-    return fitted.select(*carried, joined.alias("_ids")).select(
+        fitted, lists = ids, {"A": F.slice(first, F.lit(1), F.lit(budget))}
+    made = template.lay_out(lists) if template else {"input_ids": F.concat(*lists.values())}
+    fillers = {"input_ids": pad, "token_type_ids": 0, "special_tokens_mask": 1}
+    return fitted.select(*carried, *[column.alias(name) for name, column in made.items()]).select(
         *carried,
-        arrays.pad_to(F.col("_ids"), max_length, pad).alias("input_ids"),
-        arrays.pad_to(arrays.ones_like(F.col("_ids")), max_length, 0).alias("attention_mask"),
+        arrays.pad_to(F.col("input_ids"), max_length, pad).alias("input_ids"),
+        arrays.pad_to(arrays.ones_like(F.col("input_ids")), max_length, 0).alias("attention_mask"),
+        *[arrays.pad_to(F.col(name), max_length, fillers[name]).alias(name) for name in made if name != "input_ids"],
     )
 
 

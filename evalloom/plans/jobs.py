@@ -84,10 +84,20 @@ def build_leaderboard(
     keys: Sequence[str] = LEADERBOARD_KEYS,
 ) -> DataFrame:
     """Averages per result file found under the roots."""
-    rows = readers.read_result_csv(spark, readers.scan_results(spark, roots))
+    rows = readers.read_results_under(spark, roots)
     return leaderboard(rows, keys, metric, by_source=True, order="row_order")
 
 
+def write_leaderboard(
+    spark: SparkSession,
+    roots: Sequence[str],
+    metric: str = "metric_eval_accuracy",
+    keys: Sequence[str] = LEADERBOARD_KEYS,
+) -> int:
+    """Averages of every result file as ``<stem>_avg.csv`` beside it, where :func:`build_macro_mean` finds them."""
+    return sinks.write_avg_beside(build_leaderboard(spark, roots, metric, keys))
+
+
 def build_macro_mean(
     spark: SparkSession,
     roots: Sequence[str],
@@ -96,5 +106,5 @@ def build_macro_mean(
     suffix: str = "_mean",
 ) -> DataFrame:
     """Macro mean over the average files found under the roots."""
-    rows = readers.read_result_csv(spark, readers.scan_averages(spark, roots))
+    rows = readers.read_averages_under(spark, roots)
     return macro_mean(rows, keys, prefix, suffix, order="row_order")

@@ -402,13 +402,28 @@ PAIR_ROWS = """
     SELECT d.doc_id, d.text AS a, b.text AS b, d.n_chars AS labels
     FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)
 """
-PAIR_VOCAB = _vocab_sql("SELECT text AS txt FROM documents UNION ALL SELECT text FROM benchmark")
-PAIR = f"""
-    WITH r AS MATERIALIZED ({PAIR_ROWS}), v AS MATERIALIZED ({PAIR_VOCAB}),
-    e AS (
-        SELECT r.doc_id, r.labels, coalesce(p.ids, []::INTEGER[]) AS p, coalesce(t.ids, []::INTEGER[]) AS t
-        FROM r LEFT JOIN ({_ids_sql("SELECT * FROM r", "SELECT * FROM v", "doc_id", "a", PAIR_LENGTH)}) p ON p.doc_id = r.doc_id
-        LEFT JOIN ({_ids_sql("SELECT * FROM r", "SELECT * FROM v", "doc_id", "b", PAIR_LENGTH)}) t ON t.doc_id = r.doc_id),
+START, SEPARATOR = 3, 4
+PAIR_FIRST = 5
+PAIR_TEXTS = "SELECT text AS txt FROM documents UNION ALL SELECT text FROM benchmark"
+
+
+def _pair_sql(first_id: int, budget: int) -> str:
+    """Relation ``e``: id lists ``p`` and ``t`` of both texts, cut to ``budget``, and the texts' full lengths."""
+    return f"""
+    WITH r AS MATERIALIZED ({PAIR_ROWS}),
+    w AS MATERIALIZED (SELECT doc_id, labels, {WORDS.format("a")} AS wa, {WORDS.format("b")} AS wb FROM r),
+    v AS MATERIALIZED (SELECT token, CAST(id - {FIRST_ID} + {first_id} AS INTEGER) AS id FROM ({_vocab_sql(PAIR_TEXTS)})),
+    s AS (SELECT doc_id, 0 AS side, list_slice(wa, 1, {budget}) AS l FROM w UNION ALL SELECT doc_id, 1, list_slice(wb, 1, {budget}) FROM w),
+    m AS MATERIALIZED (
+        SELECT doc_id, list(id ORDER BY pos) FILTER (side = 0) AS p, list(id ORDER BY pos) FILTER (side = 1) AS t
+        FROM (SELECT doc_id, side, unnest(l) AS token, generate_subscripts(l, 1) AS pos FROM s) JOIN v USING (token) GROUP BY doc_id),
+    e AS MATERIALIZED (
+        SELECT w.doc_id, labels, len(wa) AS n1, len(wb) AS n2, coalesce(p, []::INTEGER[]) AS p, coalesce(t, []::INTEGER[]) AS t
+        FROM w LEFT JOIN m ON m.doc_id = w.doc_id)"""
+
+
+PAIR_PLAIN = f"""
+    {_pair_sql(FIRST_ID, PAIR_LENGTH)},
     n AS (
         SELECT *, CASE WHEN len(p) + len(t) <= {PAIR_LENGTH} THEN len(p) WHEN len(t) <= {PAIR_LENGTH // 2} THEN {PAIR_LENGTH} - len(t)
                        ELSE least(len(p), {(PAIR_LENGTH + 1) // 2}) END AS np FROM e),
@@ -416,6 +431,20 @@ PAIR = f"""
     SELECT doc_id, labels, array_to_string(list_concat(ids, list_transform(range({PAIR_LENGTH} - len(ids)), lambda x: 0)), ',') AS input_ids,
            len(ids) AS kept FROM f
 """
+PAIR_BUDGET = PAIR_LENGTH - 3
+PAIR = f"""
+    {_pair_sql(PAIR_FIRST, PAIR_BUDGET)},
+    n AS (
+        SELECT *, CASE WHEN n1 + n2 <= {PAIR_BUDGET} THEN n1 WHEN n1 <= n2 THEN least(n1, {PAIR_BUDGET // 2})
+                       ELSE {PAIR_BUDGET} - least(n2, {PAIR_BUDGET // 2}) END AS k FROM e),
+    f AS (
+        SELECT doc_id, labels, list_concat(list_concat([{START}]::INTEGER[], list_slice(p, 1, k)), [{SEPARATOR}]::INTEGER[]) AS a,
+               list_concat(list_slice(t, 1, {PAIR_BUDGET} - k), [{SEPARATOR}]::INTEGER[]) AS b FROM n)
+    SELECT doc_id, labels, len(a) + len(b) AS kept,
+           array_to_string(list_concat(list_concat(a, b), list_transform(range({PAIR_LENGTH} - len(a) - len(b)), lambda x: 0)), ',') AS input_ids,
+           array_to_string(list_transform(range({PAIR_LENGTH}), lambda i: CASE WHEN i >= len(a) AND i < len(a) + len(b) THEN 1 ELSE 0 END), ',') AS segments
+    FROM f
+"""
 
 
 def _pairs(spark, sf_dir):
@@ -425,17 +454,33 @@ def _pairs(spark, sf_dir):
     return picked.join(items.select("item_id", F.col("text").alias("b")), "item_id")
 
 
-@query("pair_encode", PAIR)
-def pair_encode(spark, sf_dir):
+def _pair_tokenizer(spark, sf_dir, first_id):
     texts = table(spark, sf_dir, "documents").select("text").unionByName(table(spark, sf_dir, "benchmark").select("text"))
-    tokenizer = encode.VocabTokenizer(encode.build_vocab(texts, "text", FIRST_ID), unk_id=UNK, pad_id=0)
-    out = encode.encode_pair(_pairs(spark, sf_dir), tokenizer, ["a", "b"], PAIR_LENGTH, keep=["doc_id"])
+    return encode.VocabTokenizer(encode.build_vocab(texts, "text", first_id), unk_id=UNK, pad_id=0)
+
+
+def _pair_columns(out):
+    kept = F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x)
     return out.select(
-        "doc_id", "labels", joined(F.col("input_ids")).alias("input_ids"),
-        F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("kept"),
+        "doc_id", "labels", joined(F.col("input_ids")).alias("input_ids"), kept.alias("kept"),
+        *([joined(F.col("token_type_ids")).alias("segments")] if "token_type_ids" in out.columns else []),
     )
 
 
+@query("pair_encode", PAIR)
+def pair_encode(spark, sf_dir):
+    """Text pairs with start, separator and end ids and segments."""
+    template = encode.PairTemplate.two_segments(START, SEPARATOR)
+    tokenizer = _pair_tokenizer(spark, sf_dir, PAIR_FIRST)
+    return _pair_columns(encode.encode_pair(_pairs(spark, sf_dir), tokenizer, ["a", "b"], PAIR_LENGTH, keep=["doc_id"], template=template))
+
+
+@query("pair_encode_plain", PAIR_PLAIN)
+def pair_encode_plain(spark, sf_dir):
+    """Text pairs without special ids."""
+    return _pair_columns(encode.encode_pair(_pairs(spark, sf_dir), _pair_tokenizer(spark, sf_dir, FIRST_ID), ["a", "b"], PAIR_LENGTH, keep=["doc_id"]))
+
+
 @query(
     "single_encode",
     f"""

@@ -14,7 +14,7 @@ from evalloom.plans import jobs
 from evalloom.queries.grading import NUMERIC_GRADED, _numeric, answer_with_length
 from evalloom.queries.registry import joined, query, table
 from evalloom.sources import readers, sinks
-from evalloom.sources.scratch import scratch
+from evalloom.sources.scratch import scratch, settle
 from evalloom.streaming import streams
 
 
@@ -111,6 +111,89 @@ def result_csv_macro_mean(spark, sf_dir):
     )
 
 
+NOTE = "o_orderpriority || chr(10) || '\"' || o_orderstatus || '\", ' || CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderkey || chr(10) END"
+
+
+@query(
+    "result_csv_line_breaks",
+    f"""
+    SELECT CAST(o_orderkey AS VARCHAR) AS seed, {NOTE} AS note, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus || ',' || chr(10) END AS extra,
+           CAST(o_custkey AS VARCHAR) AS r FROM orders
+    """,
+)
+def result_csv_line_breaks(spark, sf_dir):
+    """Cells with line breaks, quotes and commas, in files that are scanned in many pieces."""
+    path = scratch(spark)
+    key = F.col("o_orderkey")
+    note = F.concat(
+        "o_orderpriority", F.lit('\n"'), "o_orderstatus", F.lit('", '), F.when(key % 4 == 0, "").otherwise(F.concat(key.cast("string"), F.lit("\n")))
+    )
+    rows = table(spark, sf_dir, "orders").select(
+        key.cast("string").alias("seed"), note.alias("note"),
+        F.when(key % 3 > 0, F.concat("o_orderstatus", F.lit(",\n"))).alias("extra"), F.col("o_custkey").cast("string").alias("r"),
+    )
+    sinks.write_csv(rows.repartition(3, "seed"), path)
+    pieces = "spark.sql.files.maxPartitionBytes"
+    usual = spark.conf.get(pieces)
+    spark.conf.set(pieces, "65536")
+    try:
+        return settle(readers.read_results_under(spark, [path], "*.csv").drop("source_path", "row_order"))
+    finally:
+        spark.conf.set(pieces, usual)
+
+
+HEADERS = 24
+
+
+@query(
+    "result_csv_headers",
+    f"""
+    SELECT CAST(o_orderkey AS VARCHAR) AS seed, o_orderpriority AS base_model, o_orderstatus AS extra,
+           CASE WHEN o_custkey % {HEADERS} % 2 = 1 THEN CAST(o_totalprice AS VARCHAR) END AS price,
+           CASE WHEN o_custkey % {HEADERS} % 3 = 0 THEN CAST(o_custkey AS VARCHAR) END AS customer FROM orders
+    """,
+)
+def result_csv_headers(spark, sf_dir):
+    """Files with headers of their own: names in another order, some missing; read in one scan."""
+    path = scratch(spark)
+    kind = (F.col("o_custkey") % HEADERS).cast("int")
+    rows = table(spark, sf_dir, "orders").withColumns({"kind": kind, "file": F.concat(kind.cast("string"), F.lit("-"), (F.col("o_orderkey") % 4).cast("string"))})
+    columns = {"seed": "o_orderkey", "base_model": "o_orderpriority", "extra": "o_orderstatus", "price": "o_totalprice", "customer": "o_custkey"}
+    names = F.filter(
+        F.array(*[F.lit(c) for c in columns]),
+        lambda c: ((c != "price") | (F.col("kind") % 2 == 1)) & ((c != "customer") | (F.col("kind") % 3 == 0)),
+    )
+    # Names turned by the file's number.
+    turned = F.concat(F.slice("_names", 1 + F.col("kind") % F.size("_names"), F.size("_names")), F.slice("_names", F.lit(1), F.col("kind") % F.size("_names")))
+    values = F.create_map(*[x for c, source in columns.items() for x in (F.lit(c), F.col(source).cast("string"))])
+    laid = rows.withColumn("_names", names).withColumn("_names", turned).withColumn("_values", values)
+    body = laid.select("file", F.lit(1).alias("at"), F.concat_ws(",", F.transform("_names", lambda c: F.col("_values")[c])).alias("value"))
+    heads = laid.select("file", F.lit(0).alias("at"), F.concat_ws(",", "_names").alias("value")).distinct()
+    lines = heads.unionByName(body).repartition("file").sortWithinPartitions("file", "at")
+    lines.select("file", "value").write.partitionBy("file").text(path)
+    return readers.read_results_under(spark, [path], "*.txt").select(*columns)
+
+
+@query(
+    "leaderboard_chain",
+    f"SELECT base_model, init_lora_weights, round(avg(mean), 3) AS mean, count(*) AS n FROM ({RESULT_AVERAGES}) GROUP BY 1, 2",
+)
+def leaderboard_chain(spark, sf_dir):
+    """Result files of three datasets, their averages written beside them, and the macro mean over what is found there."""
+    path = scratch(spark)
+    dataset = F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit(f"{path}/"), dataset, F.lit("/eval_results.csv")).alias("target"),
+        F.col("o_orderpriority").alias("base_model"), F.col("o_orderstatus").alias("init_lora_weights"),
+        F.col("o_orderkey").cast("string").alias("seed"), F.col("o_totalprice").cast("string").alias("metric_eval_accuracy"),
+    )
+    sinks.write_named_csv(rows)
+    keys = ["base_model", "init_lora_weights"]
+    jobs.write_leaderboard(spark, [path], keys=keys)
+    out = jobs.build_macro_mean(spark, [path], keys)
+    return out.select(*keys, F.round("metric_eval_mean_avg", 3).alias("mean"), F.col("metric_eval_mean_n").alias("n"))
+
+
 @query(
     "adapter_scan",
     """

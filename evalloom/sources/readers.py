@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from evalloom.functions.core import or_empty, strip_ws
 from evalloom.operators.splits import check_splits, split_slice, with_file_position
+from evalloom.sources.csvfiles import read_tables
 
 # Question and answer fields of the two evaluation files, and the adapter file name.
 EVAL_FIELDS = {"gsm8k": ("query", "response"), "math": ("instruction", "output")}
@@ -140,36 +141,32 @@ def scan_averages(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
 def read_result_csv(spark: SparkSession, files: DataFrame | Sequence[str]) -> DataFrame:
     """All rows as text, with ``source_path`` and the row position ``row_order``.
 
-    Files are read in one scan per distinct header, so their columns never shift, and
-    united by name. An empty file is an error.
+    One scan whatever the headers: columns are matched by name. Cells may hold line breaks. An empty file is an error.
+    :func:`read_results_under` does the same for roots, without a list of paths.
     """
     paths = [r[0] for r in files.select("source_path").collect()] if isinstance(files, DataFrame) else list(files)
     if not paths:
         raise ValueError("no result files given")
-    first = (
-        spark.read.text(paths)
-        .select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("m"))
-        .filter(F.col("file_block_start") == 0)
-        .groupBy("file_path")
-        .agg(F.min_by("value", "m").alias("header"))
-    )
-    # One row per file, like the listing itself.
-    headers = {r["file_path"]: r["header"] for r in first.collect()}
-    if len(headers) < len(paths):
+    rows, headers = read_tables(spark, paths)
+    if headers < len(paths):
         raise ValueError("empty result file (no header)")
-    groups: dict[str, list[str]] = {}
-    for path, header in sorted(headers.items()):
-        groups.setdefault(header, []).append(path)
-    out: DataFrame | None = None
-    for members in groups.values():
-        rows = spark.read.option("header", True).option("escape", '"').csv(members)
-        placed = rows.select("*", F.col("_metadata.file_path").alias("source_path"), "_metadata.file_block_start").select(
-            *rows.columns,
-            "source_path",
-            F.struct("source_path", "file_block_start", F.monotonically_increasing_id().alias("m")).alias("row_order"),
-        )
-        out = placed if out is None else out.unionByName(placed, allowMissingColumns=True)
-    return out
+    return rows
+
+
+def read_results_under(spark: SparkSession, roots: Sequence[str], glob: str = "*results.csv") -> DataFrame:
+    """Rows of all files of :func:`scan_results`, as :func:`read_result_csv` gives them."""
+    roots = [r.rstrip("/") if len(r) > 1 else r for r in roots]
+    # A root below another one would be read twice.
+    apart = sorted({r for r in roots if not any(r.startswith(other + "/") for other in roots)})
+    listing = scan_results(spark, apart, glob)
+    rows, headers = read_tables(spark, apart, recursiveFileLookup="true", pathGlobFilter=glob)
+    if headers < len(listing._jdf.inputFiles()):
+        raise ValueError(f"empty result file (no header) under {apart}")
+    return rows
+
+
+def read_averages_under(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    return read_results_under(spark, roots, "*_results_avg.csv")
 
 
 # --- adapters ---------------------------------------------------------------------------------------------

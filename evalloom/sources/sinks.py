@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.operators.grade import RECORD_COLUMNS, accuracy
 from evalloom.operators.leaderboard import SOURCE, as_text_table
 from evalloom.operators.results import append_rows
 from evalloom.sources.readers import read_result_csv
+from evalloom.sources.scratch import remove, scratch, settle
 
 FOLDER = "split_dir"
 
@@ -60,11 +63,13 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 def append_result_csv(spark: SparkSession, old: str, new: DataFrame, out: str) -> None:
     """Old CSV rows and new ones under the extended header, written to a new path."""
     before = read_result_csv(spark, [old]).drop("source_path", "row_order")
-    _csv(append_rows(before, as_text_table(new)), out)
+    write_csv(append_rows(before, as_text_table(new)), out)
 
 
-def _csv(df: DataFrame, path: str, by: str | None = None) -> None:
+def write_csv(df: DataFrame, path: str, by: str | None = None) -> None:
+    """CSV files with a header; quotes are doubled, white space at the ends of cells stays."""
     writer = df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "")
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     (writer.partitionBy(by) if by else writer).csv(path)
 
 
@@ -72,7 +77,7 @@ def write_avg(df: DataFrame, out: str) -> None:
     """Averages as CSV, one folder per source file where there are several. No rows is an error."""
     if df.isEmpty():
         raise ValueError("no rows to write")
-    _csv(as_text_table(df), out, SOURCE if SOURCE in df.columns else None)
+    write_csv(as_text_table(df), out, SOURCE if SOURCE in df.columns else None)
 
 
 def average_path(source: str) -> str:
@@ -82,6 +87,70 @@ def average_path(source: str) -> str:
     return f"{folder}{slash}{stem}_avg.csv"
 
 
+def average_path_of(source: Column) -> Column:
+    """Column form of :func:`average_path`; the escapes of a file's URI are undone."""
+    plain = F.when(source.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:/"), F.url_decode(F.replace(source, F.lit("+"), F.lit("%2B")))).otherwise(source)
+    return F.concat(F.regexp_replace(plain, r"([^/])\.[^./]*\z", "$1"), F.lit("_avg.csv"))
+
+
+def write_named_csv(df: DataFrame, target: str = "target") -> int:
+    """Write the rows of each ``target`` to the CSV file of that name, in their order; returns the number of files.
+
+    Files are finished in the shared folder first, one task per file. Then each is copied next to its target under a hidden
+    name and renamed over it, so that a reader sees the old file or the new one, and a run that
+    stopped half-way is simply repeated. The driver walks the finished files one by one.
+    """
+    spark = df.sparkSession
+    stage = scratch(spark)
+    others = [c for c in df.columns if c != target]
+    keyed = df.withColumn("_o", F.monotonically_increasing_id()).withColumn("_g", F.md5(F.col(target)))
+    # The order and the rows are written once: the same plan may not give the same order twice.
+    rows = settle(keyed)
+    files = rows.repartition("_g").sortWithinPartitions("_g", "_o").select("_g", *others)
+    write_csv(files, stage, "_g")
+    written = 0
+    for row in rows.groupBy("_g").agg(F.first(target).alias("target")).toLocalIterator():
+        _put_in_place(spark, f"{stage}/_g={row['_g']}", row["target"])
+        written += 1
+    remove(spark, stage)
+    return written
+
+
+def _put_in_place(spark: SparkSession, folder: str, target: str) -> None:
+    """Move the single part file of a folder over ``target``."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs
+    parts = fs.Path(folder + "/part-*")
+    store = parts.getFileSystem(conf)
+    found = store.globStatus(parts)
+    if len(found) != 1:
+        raise RuntimeError(f"{len(found)} finished files for {target}")
+    wanted = fs.Path(target)
+    hidden = fs.Path(wanted.getParent(), f".{wanted.getName()}.{uuid.uuid4().hex}")
+    home = hidden.getFileSystem(conf)
+    try:
+        fs.FileUtil.copy(store, found[0].getPath(), home, hidden, False, conf)
+        over = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+        over[0] = fs.Options.Rename.OVERWRITE
+        fs.FileContext.getFileContext(home.getUri(), conf).rename(hidden, wanted, over)
+    finally:
+        home.delete(hidden, False)
+
+
+def write_avg_beside(df: DataFrame) -> int:
+    """Averages of every source file as ``<stem>_avg.csv`` beside it; returns the number of files. No rows is an error.
+
+    ``df`` has the column ``source_path``. Sources whose averages would share a file are an error.
+    """
+    rows = settle(as_text_table(df).withColumn("target", average_path_of(F.col(SOURCE))))
+    sources, targets = rows.agg(F.count_distinct(SOURCE), F.count_distinct("target")).first()
+    if not targets:
+        raise ValueError("no rows to write")
+    if sources > targets:
+        raise ValueError(f"{sources} sources would share {targets} files of averages")
+    return write_named_csv(rows.drop(SOURCE))
+
+
 def write_inference(df: DataFrame, path: str) -> None:
     df.select("instruction", "prediction").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 

@@ -141,3 +141,57 @@ def test_text_functions(spark):
     tokens = F.array(*[F.lit(t) for t in ("ab", "cd", "\\boxed", "{1}")])
     cut = lambda c: text.tokens_before_boxed(c, tokens)
     assert one("abcd\\boxed{1}", cut) == ["ab"] and one("none", cut) is None
+
+
+WORDS = ["a", "b", "c", "dd", "e"]
+SPECIAL = {"[PAD]": 0, "[UNK]": 1, "[CLS]": 2, "[SEP]": 3}
+
+
+def library_tokenizer(single, pair, length):
+    """A tokenizer of the library with a given word list: its layout, cutting and padding are what is compared."""
+    tokenizers = pytest.importorskip("tokenizers")
+    words = {w: i + len(SPECIAL) for i, w in enumerate(WORDS)}
+    out = tokenizers.Tokenizer(tokenizers.models.WordLevel({**SPECIAL, **words}, unk_token="[UNK]"))
+    out.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
+    marks = [("[CLS]", 2), ("[SEP]", 3)]
+    out.post_processor = tokenizers.processors.TemplateProcessing(single=single, pair=pair, special_tokens=marks)
+    out.enable_truncation(length, strategy="longest_first")
+    out.enable_padding(length=length, pad_id=0, pad_token="[PAD]")
+    return out
+
+
+LAYOUTS = {
+    "two_segments": ("[CLS] $A [SEP]", "[CLS] $A [SEP] $B:1 [SEP]:1"),
+    "one_segment": ("[CLS] $A [SEP]", "[CLS] $A [SEP] [SEP] $B [SEP]"),
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("length", [5, 8, 11])
+def test_pairs_as_a_real_tokenizer_lays_them_out(spark, layout, length):
+    ids = {w: i + len(SPECIAL) for i, w in enumerate(WORDS)}
+    template = getattr(encode.PairTemplate, layout)(2, 3)
+    texts = [" ".join(WORDS[(i + j) % 5] for j in range(i)) for i in range(10)] + ["x a", None]
+    rows = [(i * 100 + j, a, b, i) for i, a in enumerate(texts) for j, b in enumerate(texts)]
+    df = spark.createDataFrame(rows, "idx long, a string, b string, label int")
+    library = library_tokenizer(*LAYOUTS[layout], length)
+    vocab = spark.createDataFrame([(w, i, 1) for w, i in ids.items()], "token string, id int, n long")
+    custom = encode.ArrowTokenizer(lambda: lambda ts: [[ids.get(w, 1) for w in t.split()] for t in ts], pad_id=0)
+    for tokenizer in (encode.VocabTokenizer(vocab, unk_id=1, pad_id=0), custom):
+        for columns in (["a", "b"], "a"):
+            got = encode.encode_pair(df, tokenizer, columns, length, keep=["idx"], template=template)
+            for r in got.collect():
+                a, b = texts[r["idx"] // 100] or "", texts[r["idx"] % 100] or ""
+                want = library.encode(a, b) if columns != "a" else library.encode(a)
+                found = (r["input_ids"], r["token_type_ids"], r["attention_mask"], r["special_tokens_mask"])
+                assert found == (want.ids, want.type_ids, want.attention_mask, want.special_tokens_mask), (a, b, columns)
+                assert r["labels"] == r["idx"] // 100
+
+
+def test_templates_are_checked(spark):
+    with pytest.raises(ValueError, match="each of"):
+        encode.PairTemplate([("A", 0)], [("A", 0), ("A", 1)])
+    template = encode.PairTemplate.one_segment(1, 2)
+    df = spark.createDataFrame([(0, "a", "b")], "idx long, a string, b string")
+    with pytest.raises(ValueError, match="special ids"):
+        encode.encode_pair(df, encode.ArrowTokenizer(list), ["a", "b"], 3, keep=["idx"], template=template)
