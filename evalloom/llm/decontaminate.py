@@ -1,8 +1,9 @@
 """Benchmark decontamination: a BM25 index of test items, asked by every training passage.
 
-Documents are cut into passages of twice ``stride`` words, one every ``stride`` words, with ``stride`` at least 1.25
-times the longest item, so an item copied into a text (with up to a quarter of words put in between) lies
-inside one passage. A passage's distinct words are a query; items are the documents of the index.
+For an item, documents are cut into passages of twice ``stride`` words, one every ``stride`` words, with ``stride`` the
+power of two (32 at least) that reaches 1.25 times the item's own words: an item copied into a text (with up to a quarter of
+words put in between) lies inside one passage, whatever other items there are. Items of one stride share an
+index, and a text is looked up in all indexes of a part in one pass. A passage's distinct words are a query; items are the documents of the index.
 
 Retrieval is block-max WAND on arrays. The sum of a passage's largest term impacts bounds every
 score (WAND); the sum of the largest impacts inside a block of ``BLOCK_ITEMS`` items bounds the scores of that
@@ -19,7 +20,7 @@ Words are runs of letters, digits and non-ASCII bytes with A-Z lower-cased, so c
 
 The items come to the driver in index parts of up to ``PART_ITEMS`` items and ``PART_WORDS`` words (or one
 item), each sent to all tasks on its own. The statistics of BM25 (items, mean length, document frequencies) are
-counted over all items beforehand and come along with each item, so scores do not depend on the parts. With
+counted over all items beforehand and come along with each item, so neither hits nor scores depend on the parts. With
 several parts each one's hits are written before the next part is built: driver, plan and broadcast hold one
 part, however many items there are.
 
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.words import U64, byte_slices, chain_hash, mix, words_of
+from evalloom.llm.words import U64, byte_slices, chain_hash, mix, tidy, words_of
 from evalloom.operators.ranges import lookup
 from evalloom.sources.scratch import settle
 
@@ -63,7 +64,7 @@ def _shingles(words: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """One part of the benchmark: terms, impacts by item (CSR), block maxima, thresholds and shingles to verify."""
+    """The items of one stride in one part of the benchmark: terms, impacts by item (CSR), block maxima, thresholds and shingles to verify."""
 
     ids: list
     terms: np.ndarray
@@ -99,22 +100,25 @@ class Statistics:
     df: np.ndarray
 
 
-def build_index(rows: list[tuple], overlap: float = OVERLAP, whole: bool = False, known: Statistics | None = None) -> Index | None:
-    """Index of (item_id, question, answer) rows; with ``whole`` an item's text as one also counts.
+def stride_of(words: int) -> int:
+    """Words from one passage to the next for an item of so many words."""
+    return max(32, 1 << int(np.ceil(1.25 * words) - 1).bit_length())
 
-    Without ``known`` the rows are the whole benchmark.
-    """
-    items = []
+
+def build_indexes(rows: list[tuple], known: Statistics, overlap: float = OVERLAP, whole: bool = False) -> list[Index]:
+    """Indexes of (item_id, question, answer) rows, one per stride; with ``whole`` an item's text as one also counts."""
+    by_stride: dict[int, list] = {}
     for item_id, question, answer in rows:
         q, a = _sequence(question), _sequence(answer)
         if len(q) + len(a):
-            items.append((item_id, q, a))
-    if not items:
-        return None
+            by_stride.setdefault(stride_of(len(q) + len(a)), []).append((item_id, q, a))
+    return [_build_index(items, stride, known, overlap, whole) for stride, items in sorted(by_stride.items())]
+
+
+def _build_index(items: list[tuple], stride: int, known: Statistics, overlap: float, whole: bool) -> Index:
     sizes = np.array([len(q) + len(a) for _, q, a in items], float)
     counted = [np.unique(np.concatenate([q, a]), return_counts=True) for _, q, a in items]
-    terms, df = np.unique(np.concatenate([t for t, _ in counted]), return_counts=True)
-    known = known or Statistics(len(items), float(sizes.mean()), terms, df)
+    terms = np.unique(np.concatenate([t for t, _ in counted]))
     df = known.df[np.searchsorted(known.terms, terms)]
     idf = np.log1p((known.items - df + 0.5) / (df + 0.5))
     norm = K1 * (1 - B + B * sizes / known.mean)
@@ -150,17 +154,21 @@ def build_index(rows: list[tuple], overlap: float = OVERLAP, whole: bool = False
     hint[(terms >> U64(44)).astype(np.int64)] = True
     return Index(
         [items[i][0] for i in order], terms, hint, item_terms, impacts, thresholds, block_max.max(axis=1), block_max,
-        np.minimum.reduceat(thresholds, np.arange(0, len(order), BLOCK_ITEMS)), pick(question), pick(answer), pick(both), pick(parts),
-        max(32, int(np.ceil(1.25 * sizes.max()))),
+        np.minimum.reduceat(thresholds, np.arange(0, len(order), BLOCK_ITEMS)), pick(question), pick(answer), pick(both), pick(parts), stride,
     )
 
 
-def hits(column: pa.Array, index: Index, overlap: float = OVERLAP) -> list[tuple]:
-    """(row, item number, score, question share, answer share, first word of the passage): best passage of each pair."""
+def hits(column: pa.Array, indexes: list[Index], overlap: float = OVERLAP) -> list[tuple]:
+    """(row, item_id, score, question share, answer share, first word of the passage): best passage of each row and item."""
     _, _, _, hashes, row = words_of(column, letters_only=True)
     if not len(hashes):
         return []
     first = np.searchsorted(row, np.arange(len(column) + 1))
+    return [(x[0], index.ids[x[1]], *x[2:]) for index in indexes for x in _hits(hashes, row, first, index, overlap)]
+
+
+def _hits(hashes: np.ndarray, row: np.ndarray, first: np.ndarray, index: Index, overlap: float) -> list[tuple]:
+    """Like :func:`hits` for one index, with item numbers. ``first`` is every text's first word."""
     maybe = np.flatnonzero(index.hint[(hashes >> U64(44)).astype(np.int64)])
     place = np.minimum(np.searchsorted(index.terms, hashes[maybe]), len(index.terms) - 1)
     known = index.terms[place] == hashes[maybe]
@@ -236,16 +244,16 @@ def _counted(items: DataFrame) -> tuple[DataFrame, int, float]:
     return rows.join(lists, "_row").orderBy("_row"), int(facts[0]), float(facts[1] or 0.0)
 
 
-def index_parts(items: DataFrame, overlap: float = OVERLAP, whole: bool = False) -> Iterator[tuple[Index, bool]]:
-    """Index parts of ``item_id, question, answer`` and whether it is the only one; one part is at the driver at a time."""
+def index_parts(items: DataFrame, overlap: float = OVERLAP, whole: bool = False) -> Iterator[tuple[list[Index], bool]]:
+    """Index parts of ``item_id, question, answer`` and whether each is the only one; one part is at the driver at a time."""
     rows, n, mean = _counted(items)
 
-    def made(waiting: list) -> Index | None:
+    def made(waiting: list) -> list[Index]:
         pairs = dict(x for r in waiting for x in r["_terms"])
         terms = np.array(list(pairs), np.int64).view(U64)
         order = np.argsort(terms)
         known = Statistics(n, mean, terms[order], np.array(list(pairs.values()), np.int64)[order])
-        return build_index([(r["item_id"], r["question"], r["answer"]) for r in waiting], overlap, whole, known)
+        return build_indexes([(r["item_id"], r["question"], r["answer"]) for r in waiting], known, overlap, whole)
 
     waiting: list = []
     words, alone = 0, True
@@ -270,7 +278,7 @@ def find(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, whole: boo
     out = None
     for index, alone in index_parts(items, overlap, whole):
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index: list[Index] = index) -> Iterator[pa.RecordBatch]:
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
             names = [x.split()[0] for x in FOUND.split(", ")]
             for batch in batches:
@@ -279,10 +287,10 @@ def find(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, whole: boo
                     if not found:
                         continue
                     ids = batch.column(0).slice(lo, hi - lo).to_pylist()
-                    columns = zip(*[(ids[x[0]], index.ids[x[1]], *x[2:]) for x in found], strict=True)
+                    columns = zip(*[(ids[x[0]], *x[1:]) for x in found], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-        part = rows.mapInArrow(run, FOUND)
+        part = rows.mapInArrow(tidy(run), FOUND)
         part = part if alone else settle(part)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], FOUND) if out is None else out
@@ -297,24 +305,24 @@ def clean(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, whole: bo
     for index, alone in index_parts(items, overlap, whole):
         if not alone:
             # A text alone decides whether it goes, so the digests of those that do are enough, whatever the number of parts.
-            part = settle(numbered.select(f"_{place}").mapInArrow(_leaking(index, overlap), "_text string").select(F.sha2("_text", 256).alias("_digest")).distinct())
+            part = settle(numbered.select(f"_{place}").mapInArrow(tidy(_leaking(index, overlap)), "_text string").select(F.sha2("_text", 256).alias("_digest")).distinct())
             bad_texts = part if bad_texts is None else bad_texts.unionByName(part)
             continue
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index: list[Index] = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo, hi in byte_slices(batch.column(place)):
                     part = batch.slice(lo, hi - lo)
                     bad = {x[0] for x in hits(part.column(place), index, overlap)}
                     yield part.filter(pa.array([i not in bad for i in range(part.num_rows)])) if bad else part
 
-        numbered = numbered.mapInArrow(run, numbered.schema)
+        numbered = numbered.mapInArrow(tidy(run), numbered.schema)
     if bad_texts is not None:
         numbered = numbered.join(bad_texts.distinct(), F.sha2(f"_{place}", 256) == F.col("_digest"), "left_anti")
     return numbered.toDF(*names)
 
 
-def _leaking(index: Index, overlap: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _leaking(index: list[Index], overlap: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The texts with any hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

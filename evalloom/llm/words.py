@@ -1,23 +1,62 @@
 """Words of whole texts on Arrow buffers: offsets and 64-bit hashes without one Python object per word.
 
 A word is a run of bytes other than space and 0x09-0x0D; A-Z count as a-z. Nulls are empty texts.
-Work goes through a batch in segments of about four megabytes that end between words, so
+Work goes through a batch in segments of about a megabyte that end between words, so
 memory stays bounded for texts of any length (one single word may be longer than a segment).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 22
+SEGMENT = 1 << 20
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _tables: dict[str, np.ndarray] = {}
 
 
+#: What a worker forgets when another operator's task starts in it.
+FORGET: list[Callable[[], None]] = []
+_last: list[str] = []
+
+
+def _give_back() -> None:
+    _tables.clear()
+    pa.default_memory_pool().release_unused()
+    # Where the C library can: freed blocks go back to the system.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's batch function that leaves its worker small, since Python workers live on between tasks and stages.
+
+    Tables and freed memory go back at the end of a task; what an operator keeps for its own next task goes when another
+    operator starts.
+    """
+    name = f"{work.__module__}.{work.__qualname__}"
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _last != [name]:
+            for forget in FORGET:
+                forget()
+            _give_back()
+            _last[:] = [name]
+        try:
+            yield from work(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finishing step of splitmix64: every input bit reaches every output bit."""
     h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)

@@ -408,14 +408,17 @@ def test_decontamination(spark, docs, texts, odd, none):
     grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
     listed = [(r["item_id"], plain(r["question"]), plain(r["answer"])) for r in items.collect()]
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, items).collect()}
-    stride = max(32, math.ceil(1.25 * max(len(q) + len(a) for _, q, a in listed)))
+    strides = {i: next(s for s in (32 << k for k in range(20)) if s >= 1.25 * (len(q) + len(a))) for i, q, a in listed}
+    assert len(set(strides.values())) > 1
     want = set()
-    for d, t in texts.items():
+    for (d, t), stride in itertools.product(texts.items(), set(strides.values())):
         w = plain(t)
         for at in range(0, max(1, len(w)), stride):
             window = w[at : at + 2 * stride]
             sizes = {n: grams(window, n) for n in range(1, 6)}
             for i, q, a in listed:
+                if strides[i] != stride:
+                    continue
                 share = [len(grams(p, min(5, len(p))) & sizes[min(5, len(p))]) / len(grams(p, min(5, len(p)))) for p in (q, a) if p]
                 if share and min(share) >= 0.8:
                     want.add((d, i))
@@ -462,6 +465,21 @@ def test_scores_do_not_depend_on_parts(spark, docs, none, monkeypatch):
     assert decontaminate.clean(nulls, items, whole=True).filter("text is null").count() == 2
 
 
+@pytest.mark.parametrize("items_in_part", [512, 1])
+def test_hits_do_not_depend_on_the_other_items(spark, monkeypatch, items_in_part):
+    """A short item whose two parts stand 40 or 300 words apart, beside an item of 640 words."""
+    monkeypatch.setattr(decontaminate, "PART_ITEMS", items_in_part)
+    short = ([f"s{i}" for i in range(9)], [f"t{i}" for i in range(5)])
+    long = [f"l{i}" for i in range(640)]
+    listed = [(1, " ".join(short[0]), " ".join(short[1])), (2, " ".join(long[:600]), " ".join(long[600:]))]
+    apart = lambda n: " ".join([*short[0], *[f"x{i}" for i in range(n)], *short[1]])
+    spread = [w for i, w in enumerate(long) for w in ([w, f"y{i}"] if 594 <= i < 606 else [w])]
+    rows = [(0, apart(0)), (1, apart(20)), (2, apart(300)), (3, " ".join(long)), (4, " ".join(spread)), (5, " ".join(long[:500]))]
+    items = spark.createDataFrame(listed, "item_id long, question string, answer string")
+    found = decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(0, 1), (1, 1), (3, 2), (4, 2)}
+
+
 # 8 ---------------------------------------------------------------------------------------------
 
 
