@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.functions.arrays import power_scale
+from evalloom.operators.counts import lower_rows
 from evalloom.operators.ranges import global_rank, lookup, running_before, sorted_rank
+from evalloom.operators.user_metrics import groups_of
 from evalloom.sources.scratch import settle
 
 BUDGET_METRICS = ("ratio", "raw", "sum", "max")
@@ -102,17 +106,50 @@ def shared_values(df: DataFrame, key: str, value: str) -> DataFrame:
     return found.select(f"_value.{value}", key, "n")
 
 
+#: Layers whose sums a task holds before it sends them on.
+HELD_LAYERS = 1024
+
+
 def _gram(factor: DataFrame, name: str) -> DataFrame:
-    """Sum of outer products per layer as (layer, i, j, name), ``i <= j``."""
-    # Rank stays small (it is the adapter rank), rows do not: sums are partial before the shuffle.
-    at = F.posexplode("vec").alias("i", "_x")
-    rows = factor.select("layer", "vec", at)
-    pairs = rows.select(
-        "layer", "i", "_x", F.posexplode(F.slice("vec", F.col("i") + 1, F.size("vec") - F.col("i"))).alias("_k", "_y")
-    )
-    return pairs.groupBy("layer", "i", (F.col("i") + F.col("_k")).alias("j")).agg(
-        F.sum(F.col("_x") * F.col("_y")).alias(name)
-    )
+    """Sum of outer products per layer as (layer, i, j, name), ``i <= j``.
+
+    A task adds up a matrix per layer and sends that: what is shuffled is bounded by tasks, layers and the square of the
+    rank, whatever the number of rows. A missing element counts as zero.
+    """
+    kind = factor.schema["layer"].dataType.simpleString()
+
+    def sent(sums: dict, layers: pa.DataType) -> pa.RecordBatch:
+        rows = [(layer, i, j, float(x[i, j])) for layer, x in sums.items() for i in range(len(x)) for j in range(i, len(x))]
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        arrays = [pa.array(c, t) for c, t in zip(columns, (layers, pa.int32(), pa.int32(), pa.float64()), strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=["layer", "i", "j", "x"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        layers = pa.string()
+        for batch in batches:
+            layers = batch.schema.field(0).type
+            for (layer,), rows in groups_of(batch, 1):
+                vectors = rows.column(1).drop_null()
+                sizes = np.diff(vectors.offsets.to_numpy())
+                width = int(sizes.max()) if len(sizes) else 0
+                dense = np.zeros((len(sizes), width))
+                inside = np.arange(width) < sizes[:, None]
+                dense[inside] = vectors.flatten().cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+                held = sums.get(layer, np.zeros((0, 0)))
+                size = max(len(held), width)
+                total = np.zeros((size, size))
+                total[: len(held), : len(held)] = held
+                total[:width, :width] += dense.T @ dense
+                sums[layer] = total
+            if len(sums) > HELD_LAYERS:
+                yield sent(sums, layers)
+                sums = {}
+        if sums:
+            yield sent(sums, layers)
+
+    parts = factor.select("layer", "vec").mapInArrow(add, f"layer {kind}, i int, j int, x double")
+    return parts.groupBy("layer", "i", "j").agg(F.sum("x").alias(name))
 
 
 def layer_energy(factor_a: DataFrame, factor_b: DataFrame) -> DataFrame:
@@ -131,41 +168,54 @@ def attach_layer_stat(layers: DataFrame, stats: DataFrame) -> DataFrame:
     return layers.join(stats, "layer", "left")
 
 
+#: Accuracy of the sketch that finds where quantiles lie: ranks are off by a share of 1 / BRACKET at most.
+BRACKET = 10_000
+
+
+def _brackets(values: DataFrame, shares: Sequence[float], margin: float) -> tuple[int, list[tuple[float, float]]]:
+    """Number of rows and, for every share, two values that should lie around it, ``margin`` of all ranks away."""
+    ends = [(c - margin, c + margin) for c in shares]
+    asked = sorted({e for pair in ends for e in pair if 0 < e < 1}) or [0.5]
+    n, found = values.agg(F.count("*"), F.percentile_approx("_v", asked, BRACKET)).first()
+    at = dict(zip(asked, found or [], strict=False))
+    # No number is below the first bound and none, not even NaN, above the last.
+    return n, [(at.get(lo, -math.inf), at.get(hi, math.nan)) for lo, hi in ends]
+
+
 def linear_quantile(df: DataFrame, value: str, qs: Sequence[float]) -> DataFrame:
     """Exact quantiles (q, quantile) with linear interpolation; q is clamped to [0, 1], no rows is an error.
 
-    Works on counts of distinct values with their starting rank, so no task ever holds all values.
+    A sketch gives a bracket around every wanted rank. Rows below it are only counted; the values inside, a few
+    ten-thousandths of all rows, are counted by value, and the end points are selected among them. Where a bracket misses its
+    rank it is widened. No task holds all values, and only counts inside the brackets are shuffled.
     """
-    clamped = [min(max(q, 0.0), 1.0) for q in qs]
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(
-        F.count("*").alias("_n")
-    )
-    counts = settle(counts)
-    total = counts.agg(F.sum("_n")).scalar()
-    placed = running_before(counts, (), "_v", "_n", "_start").withColumn("_total", total)
-    asked = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(c).alias("c")) for q, c in zip(qs, clamped)])
-    spot = placed.select("_v", "_n", "_start", "_total", F.explode(asked).alias("_q")).withColumn(
-        "_pos", (F.col("_total") - 1) * F.col("_q.c")
-    )
+    asked = list(dict.fromkeys(float(q) for q in qs))
+    shares = [min(max(q, 0.0), 1.0) for q in asked]
+    values = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"))
+    margin = 2 / BRACKET
+    while True:
+        n, brackets = _brackets(values, shares, margin)
+        if not n:
+            raise ValueError("quantile of no rows")
+        ends = [(math.floor((n - 1) * c), math.ceil((n - 1) * c)) for c in shares]
+        below = list(values.agg(*[F.count_if(F.col("_v") < lo) for lo, _ in brackets]).first())
+        spans = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for i, (lo, hi) in enumerate(brackets)])
+        around = F.filter(spans, lambda s: (F.col("_v") >= s["lo"]) & (F.col("_v") <= s["hi"]))
+        placed = values.select("_v", F.explode(F.transform(around, lambda s: s["i"])).alias("_i"))
+        inside = settle(placed.groupBy("_i", "_v").agg(F.count("*").alias("_n")))
+        held = {r["_i"]: r["n"] for r in inside.groupBy("_i").agg(F.sum("_n").alias("n")).collect()}
+        if all(low >= b and high < b + held.get(i, 0) for i, ((low, high), b) in enumerate(zip(ends, below, strict=True))):
+            break
+        margin *= 8
+    pick = lambda numbers, kind: F.element_at(F.array(*[F.lit(x).cast(kind) for x in numbers]), F.col("_i") + 1)
+    start = lower_rows(inside, ["_i"], "_v", "_n", "_before").withColumn("_start", F.col("_before") + pick(below, "long"))
     # A value is an end point when the rank below or above the wanted position falls on it.
     covers = lambda rank: (rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_n"))
-    low, high = F.floor("_pos"), F.ceil("_pos")
-    ends = spot.filter(covers(low) | covers(high))
-    found = ends.groupBy(F.col("_q.q").alias("q")).agg(
-        F.max(F.when(covers(low), F.col("_v"))).alias("_lo"),
-        F.max(F.when(covers(high), F.col("_v"))).alias("_hi"),
-        F.max(F.col("_pos") - low).alias("_w"),
-    )
-    whole = found.select(
-        "q",
-        F.when(F.col("_w") == 0, F.col("_lo"))
-        .otherwise(F.col("_lo") * (1 - F.col("_w")) + F.col("_hi") * F.col("_w"))
-        .alias("quantile"),
-    )
-    wanted = df.sparkSession.createDataFrame([(float(q),) for q in dict.fromkeys(qs)], "q double")
-    return wanted.join(whole, "q", "left").select(
-        "q", F.coalesce("quantile", F.raise_error(F.lit("quantile of no rows")).cast("double")).alias("quantile")
-    )
+    low, high = pick([x for x, _ in ends], "long"), pick([x for _, x in ends], "long")
+    found = start.groupBy("_i").agg(F.max(F.when(covers(low), F.col("_v"))).alias("_lo"), F.max(F.when(covers(high), F.col("_v"))).alias("_hi"))
+    part = pick([(n - 1) * c - math.floor((n - 1) * c) for c in shares], "double")
+    between = F.when(part == 0, F.col("_lo")).otherwise(F.col("_lo") * (1 - part) + F.col("_hi") * part)
+    return found.select(pick(asked, "double").alias("q"), between.alias("quantile"))
 
 
 def infer_betas(
