@@ -11,7 +11,8 @@ Inserting probes the filters first: keys that no filter knows are new and skip t
 the others (seen before, or a false positive) are settled there. Removing documents subtracts
 their references; keys without any left leave the table and the filter, so that a removal undoes
 an insertion. Filters never answer "absent" for a stored key: what does not fit goes to a stash,
-and an overfull filter is built anew from the exact table.
+and an overfull filter is built anew from the exact table. Where the store outgrows its shards it is dealt
+to more of them, so that a shard stays at about ``KEYS_PER_SHARD`` lines however often documents are added.
 
 Defined cases: null or empty text is one empty line; rows with one doc_id are one document; a
 null doc_id is a document of its own whose copies lose against any id; inserting a stored doc_id
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.sources.scratch import settle
+from evalloom.sources.scratch import remove, settle
 
 MIN_CHARS = 10
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -206,17 +207,35 @@ class LineStore:
             "key", F.when(F.col("id") != "", F.col("id").cast("long")).alias("doc_id"), "n"
         )
 
+    def _switch(self) -> None:
+        """Go to the version just written; the one before it stays, older ones go."""
+        self.version += 1
+        if self.version > 2:
+            remove(self.spark, f"{self.path}/v{self.version - 2}")
+
+    def _deal(self, shards: int) -> None:
+        """The same state in more shards."""
+        lines, counts = self.lines(), self.counts()
+        self.shards = shards
+        self._write("lines", lines.withColumn("shard", self._shard()))
+        self._write("counts", counts.withColumn("shard", self._shard()))
+        self._write("filters", self.counts_of(self.version + 1).groupBy("shard").applyInPandas(_build, FILTERS))
+        self._switch()
+
     def insert(self, docs: DataFrame) -> None:
         found = settle(self.line_keys(docs))
+        wanted = -(-(found.count() + self.lines().count()) // KEYS_PER_SHARD)
         if self.shards is None:
-            self.shards = max(8, -(-found.count() // KEYS_PER_SHARD))
+            self.shards = max(8, wanted)
+        elif self.version and wanted > 2 * self.shards:
+            self._deal(wanted)
         found = found.withColumn("shard", self._shard()).select("shard", "key", "doc_id", "n")
         if not self.version:
             self._write("lines", found)
             fresh = self._references(found)
             self._write("counts", fresh)
-            self.version += 1
-            self.counts().groupBy("shard").applyInPandas(_build, FILTERS).write.parquet(f"{self.path}/v{self.version}/filters")
+            self._write("filters", self.counts_of(self.version + 1).groupBy("shard").applyInPandas(_build, FILTERS))
+            self._switch()
             return
         stored = self.lines()
         more = found.join(stored.select("key", F.col("doc_id").alias("_d")), (found["key"] == stored["key"]) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti")
@@ -231,7 +250,7 @@ class LineStore:
         self._write("lines", stored.unionByName(found))
         self._write("counts", both.unionByName(new).unionByName(false))
         self._write("filters", self._updated(settle(new.unionByName(false)), added=True))
-        self.version += 1
+        self._switch()
 
     def remove(self, ids: DataFrame) -> None:
         """Take out the documents of ``ids.doc_id``."""
@@ -246,7 +265,7 @@ class LineStore:
         self._write("lines", kept)
         self._write("counts", old.join(touched, "key", "left_anti").select(*old.columns).unionByName(left))
         self._write("filters", self._updated(dead, added=False))
-        self.version += 1
+        self._switch()
 
     def _references(self, lines: DataFrame) -> DataFrame:
         """Counts per key, combined before the shuffle; lines hold a (key, doc_id) once per insertion."""

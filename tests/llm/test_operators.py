@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalloom.llm import chat, components, decontaminate, forest, jaccard, langid, linededup, lm, mixing, sharding, tokens, words
-from evalloom.llm.queries import tokenizer_path
+from evalloom.llm.queries import line_dedup, tokenizer_path
 from evalloom.sources.scratch import scratch
 
 SF = "/root/testdata/sf0.001"
@@ -322,6 +322,32 @@ def test_line_store_odd_rows(spark, odd, none):
     assert empty.clean(none).count() == 0
 
 
+def test_line_store_is_dealt_to_more_shards(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "KEYS_PER_SHARD", 4)
+    rows = [(i, "\n".join(f"a line with number {(i * 7 + j) % 90}" for j in range(i % 6))) for i in range(60)]
+    make = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    store = linededup.LineStore(spark, scratch(spark))
+    store.insert(make(rows[:10]))
+    few = store.shards
+    store.insert(make(rows[10:]))
+    assert store.shards > 2 * few
+    assert {r["doc_id"]: tuple(r)[1:] for r in store.clean(make(rows)).collect()} == brute_clean(rows)
+    known = {r["shard"]: linededup.CuckooFilter.from_bytes(bytes(r["filter"])) for r in store.filters().collect()}
+    assert all(bytes(r["key"]) in known[r["shard"]] for r in store.counts().collect()) and max(known) >= few
+
+
+def test_line_query_goes_through_its_filters(spark, docs, monkeypatch):
+    """Three insertions, a removal and another insertion, of which three probe the filters; the rows are those of one insertion."""
+    changes, probed = [], []
+    switch, updated = linededup.LineStore._switch, linededup.LineStore._updated
+    monkeypatch.setattr(linededup.LineStore, "_switch", lambda self: (changes.append(self.version), switch(self)) and None)
+    monkeypatch.setattr(linededup.LineStore, "_updated", lambda self, keys, added: (probed.append((added, keys.count())), updated(self, keys, added))[1])
+    got = {r["doc_id"]: tuple(r)[1:] for r in line_dedup(spark, SF).collect()}
+    assert len(changes) == 5 and [added for added, _ in probed] == [True, True, False, True] and all(n for _, n in probed)
+    want = brute_clean([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert got == {d: (n, dropped, hashlib.sha256(text.encode()).hexdigest()) for d, (text, n, dropped) in want.items()}
+
+
 # 6 ---------------------------------------------------------------------------------------------
 
 
