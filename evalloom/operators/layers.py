@@ -61,7 +61,7 @@ def rank_budget(
         raise ValueError(f"metric must be one of {', '.join(BUDGET_METRICS)}")
     if redistribute and rho < 1:
         raise ValueError("rho must be at least 1")
-    kept = values if targets is None else match_suffix(values, targets)
+    kept = values if targets is None else settle(match_suffix(values, targets))
     wanted = rank * rho if redistribute else rank
     sizes = kept.groupBy("layer").agg(F.count("*").alias("_size"))
     enough = F.when(F.col("_size") >= wanted, F.lit(rank)).otherwise(

@@ -119,13 +119,13 @@ def global_rank(
             "_pr", F.col("_pr") * 2 - F.col("_own").cast("int")
         )
     placed = placed.drop("_b", "_own")
-    # At most one row per range: bounded by the number of borders, not by the data.
-    before = (
-        placed.groupBy("_pr", "_tr")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.sum("_n").over(W.orderBy("_pr", "_tr").rowsBetween(W.unboundedPreceding, -1)))
-        .select("_pr", "_tr", F.coalesce("_before", F.lit(0)).alias("_before"))
-    )
+    # Two levels: rows before a range of the first key, one row per range, then rows before each of its cuts.
+    sizes = placed.groupBy("_pr", "_tr").agg(F.count("*").alias("_n"))
+    outer = sizes.groupBy("_pr").agg(F.sum("_n").alias("_n")).select(
+        "_pr", F.coalesce(F.sum("_n").over(W.orderBy("_pr").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_outer")
+    )
+    cuts = W.partitionBy("_pr").orderBy("_tr").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.join(outer, "_pr").select("_pr", "_tr", (F.col("_outer") + F.coalesce(F.sum("_n").over(cuts), F.lit(0))).alias("_before"))
     inside = W.partitionBy("_pr", "_tr").orderBy(*(order or [F.col(c) for c in keys.values()]))
     return (
         placed.withColumn("_rn", F.row_number().over(inside))

@@ -14,6 +14,7 @@ from evalloom.operators.leaderboard import LEADERBOARD_KEYS, MACRO_KEYS, leaderb
 from evalloom.operators.predict import batch_predict
 from evalloom.operators.splits import batch_id, check_splits, seeded_sample
 from evalloom.sources import readers, sinks
+from evalloom.sources.scratch import settle
 
 
 def prepare_dataset(
@@ -54,8 +55,9 @@ def evaluate(
     """Grade the chosen splits, write records and metrics, and return the graded rows."""
     chosen = list(splits or SUPPORTED_SPLITS)
     check_splits(chosen, SUPPORTED_SPLITS)
+    # Records, metrics and the returned frame read the same graded rows.
     parts = {
-        split: grade(readers.read_eval_items(spark, split, item_paths[split]), completions, TASKS[split], profile, debug)
+        split: settle(grade(readers.read_eval_items(spark, split, item_paths[split]), completions, TASKS[split], profile, debug))
         for split in chosen
     }
     for split, part in parts.items():

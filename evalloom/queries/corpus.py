@@ -8,6 +8,7 @@ from evalloom.functions import text
 from evalloom.functions.core import STRIP_CHARS
 from evalloom.operators import collate as col
 from evalloom.operators import encode, splits
+from evalloom.plans.jobs import prepare_dataset
 from evalloom.queries.registry import joined, query, sql_text, table
 from evalloom.sources.readers import load_splits
 from evalloom.sources.scratch import settle
@@ -521,3 +522,33 @@ def collate_classes(spark, sf_dir):
         F.md5(joined(F.col("input_ids"))).alias("digest"),
         F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("kept"),
     )
+
+
+@query(
+    "processor_dispatch",
+    f"""
+    WITH d AS ({INDEXED.replace("source", "source, text")}),
+    s AS (SELECT 'train' AS split, * FROM d WHERE idx >= 50 UNION ALL SELECT 'validation', * FROM d WHERE idx < 50),
+    w AS (SELECT split, idx, n_chars, list_slice(list_transform({WORDS.format("text")}, lambda w: length(w)), 1, 48) AS ids FROM s)
+    SELECT split, idx, n_chars AS labels, array_to_string(list_concat(ids, list_transform(range(48 - len(ids)), lambda x: 0)), ',') AS input_ids FROM w
+    """,
+)
+def processor_dispatch(spark, sf_dir):
+    """Splits encoded by the processor that the dataset's name stands for."""
+    rows = _documents(spark, sf_dir, "n_chars", "text")
+    tokenizer = encode.ArrowTokenizer(length_tokenizer, pad_id=0)
+    out = prepare_dataset(rows, "glue", tokenizer, "train[50:]", "train[:50]", text_column="text", label_column="n_chars", max_length=48)
+    return out.select("split", "idx", "labels", joined(F.col("input_ids")).alias("input_ids"))
+
+
+@query(
+    "split_names",
+    "SELECT o_orderpriority AS split, count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '3-MEDIUM') GROUP BY 1",
+)
+def split_names(spark, sf_dir):
+    """Rows of the splits that a comma list names, checked against those there are."""
+    orders = table(spark, sf_dir, "orders")
+    there = [r[0] for r in orders.select("o_orderpriority").distinct().collect()]
+    wanted = splits.parse_splits(" 1-URGENT, ,3-MEDIUM ")
+    splits.check_splits(wanted, there)
+    return orders.filter(F.col("o_orderpriority").isin(wanted)).groupBy(F.col("o_orderpriority").alias("split")).agg(F.count("*").alias("n"))

@@ -352,11 +352,11 @@ def answer_with_length():
     "batch_predict",
     f"""
     SELECT conv_id, turn, 'The answer is: ' || (length(text) + {len(text.INSTRUCTION_HEAD) + len(text.INSTRUCTION_TAIL)}) || '. ' AS prediction
-    FROM conversations WHERE role = 'user'
+    FROM conversations
     """,
 )
 def batch_predict_answers(spark, sf_dir):
-    asked = table(spark, sf_dir, "conversations").filter("role = 'user'").select(
+    asked = table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", text.instruction_prompt(F.col("text")).alias("prompt")
     )
     out = batch_predict(asked, "prompt", answer_with_length, 128)

@@ -133,11 +133,11 @@ def linear_quantile(spark, sf_dir):
     return out.withColumn("quantile", F.round("quantile", 4))
 
 
-# Layer energy is the discounted revenue of a supplier. Suppliers divisible by five stand for layers without energy.
+# Layer energy is the discounted revenue of a supplier. Negative keys stand for layers without energy.
 LOW, HIGH = 0.8, 1.25
 ENERGY = """
     SELECT l_suppkey AS layer, sum(CAST(l_extendedprice * 100 AS BIGINT) * CAST(l_discount * 100 AS BIGINT)) / 1e6 AS energy
-    FROM lineitem WHERE l_suppkey % 5 <> 0 GROUP BY 1
+    FROM lineitem GROUP BY 1
 """
 BETAS = f"""
     WITH e AS ({ENERGY}), m AS (SELECT avg(energy) AS mean FROM e),
@@ -154,7 +154,6 @@ def _energy(spark, sf_dir):
     parts = F.round(F.col("l_extendedprice") * 100).cast("long") * F.round(F.col("l_discount") * 100).cast("long")
     return (
         table(spark, sf_dir, "lineitem")
-        .filter("l_suppkey % 5 <> 0")
         .groupBy(F.col("l_suppkey").alias("layer"))
         .agg((F.sum(parts) / 1e6).alias("energy"))
     )
@@ -174,10 +173,18 @@ def infer_betas(spark, sf_dir):
     )
 
 
+LAYERS = "(SELECT s_suppkey, s_acctbal, s_name FROM supplier UNION ALL SELECT -s_suppkey, s_acctbal, s_name FROM supplier)"
+
+
+def _layers(spark, sf_dir):
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("layer"), F.col("s_acctbal").alias("alpha"), "s_name")
+    return suppliers.unionByName(suppliers.withColumn("layer", -F.col("layer")))
+
+
 def _scaled_sql(factor: str, source: str) -> str:
     return f"""
     SELECT s_suppkey AS layer, round(CASE WHEN energy IS NULL THEN s_acctbal ELSE {factor} END, 4) AS alpha
-    FROM supplier LEFT JOIN ({ENERGY}) ON layer = s_suppkey CROSS JOIN ({source})
+    FROM {LAYERS} LEFT JOIN ({ENERGY}) ON layer = s_suppkey CROSS JOIN ({source})
     """
 
 
@@ -188,7 +195,7 @@ POWER = """
 
 
 def _scaled(spark, sf_dir, mode):
-    layers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("layer"), F.col("s_acctbal").alias("alpha"))
+    layers = _layers(spark, sf_dir).drop("s_name")
     out = ops.reallocate_scale(_energy(spark, sf_dir), layers, mode, base=2.0, alpha_min=LOW, alpha_max=HIGH)
     return out.withColumn("alpha", F.round("alpha", 4))
 
@@ -228,10 +235,10 @@ def power_scale_rows(spark, sf_dir):
 
 @query(
     "layer_stat_join",
-    f"SELECT s_suppkey AS layer, s_name, round(energy, 4) AS energy FROM supplier LEFT JOIN ({ENERGY}) ON layer = s_suppkey",
+    f"SELECT s_suppkey AS layer, s_name, round(energy, 4) AS energy FROM {LAYERS} LEFT JOIN ({ENERGY}) ON layer = s_suppkey",
 )
 def layer_stat_join(spark, sf_dir):
-    layers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("layer"), "s_name")
+    layers = _layers(spark, sf_dir).drop("alpha")
     return ops.attach_layer_stat(layers, _energy(spark, sf_dir)).withColumn("energy", F.round("energy", 4))
 
 

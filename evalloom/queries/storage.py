@@ -187,7 +187,7 @@ def leaderboard_chain(spark, sf_dir):
         F.col("o_orderpriority").alias("base_model"), F.col("o_orderstatus").alias("init_lora_weights"),
         F.col("o_orderkey").cast("string").alias("seed"), F.col("o_totalprice").cast("string").alias("metric_eval_accuracy"),
     )
-    sinks.write_named_csv(rows)
+    sinks.write_named(rows)
     keys = ["base_model", "init_lora_weights"]
     jobs.write_leaderboard(spark, [path], keys=keys)
     out = jobs.build_macro_mean(spark, [path], keys)
@@ -202,24 +202,22 @@ def leaderboard_chain(spark, sf_dir):
     """,
 )
 def adapter_scan(spark, sf_dir):
-    """Adapter folders by nation (those of region 2 hold no settings), counted over customers."""
+    """Adapter folders by nation, those of region 2 without a settings file; kept ones with their rank, and customers counted."""
     path = scratch(spark)
-    nations = table(spark, sf_dir, "nation").repartition(1)
-    settings = nations.filter("n_regionkey <> 2").select("n_name", (F.col("n_regionkey") + 1).alias("r"))
-    settings.write.partitionBy("n_name").json(f"{path}/kept")
-    nations.filter("n_regionkey = 2").select("n_name", F.lit(1).alias("x")).write.partitionBy("n_name").json(f"{path}/skipped")
-    rows = spark.read.json(f"{path}/kept").groupBy("n_name").agg(F.struct(F.max("r").alias("r")).alias("adapter"))
-    adapters = readers.adapter_rank(rows.withColumnRenamed("n_name", "adapter_path"))
-    # Listed part files stand for the settings file.
-    seen = readers.scan_adapters(spark, f"{path}/skipped").unionByName(readers.scan_adapters(spark, f"{path}/kept"))
-    name = F.substring_index("adapter_path", "n_name=", -1)
-    listed = seen.select(name.alias("adapter_path"))
+    holds = F.col("n_regionkey") != 2
+    file = F.when(holds, readers.ADAPTER_FILE).otherwise("notes.json")
+    files = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit(f"{path}/"), "n_name", F.lit("/"), file).alias("target"), (F.col("n_regionkey") + 1).alias("r"), F.lit("none").alias("bias")
+    )
+    sinks.write_named(files, sinks.write_json)
+    seen = readers.scan_adapters(spark, path)
+    ranked = readers.adapter_rank(readers.read_adapters(spark, path, "r int, bias string"))
+    name = lambda c: F.substring_index(c, "/", -1)
     customers = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("c"))
     counted = table(spark, sf_dir, "nation").join(customers, "n_nationkey").select(F.col("n_name").alias("adapter_path"), "c")
-    joined_rows = attach_adapter(listed.join(counted, "adapter_path"), adapters)
-    return joined_rows.select(
-        F.col("adapter_path").alias("n_name"), F.col("adapter").isNotNull().alias("kept"), F.col("adapter.r").cast("int").alias("r"), "c"
-    )
+    listed = seen.select(name("adapter_path").alias("adapter_path"), "kept").join(counted, "adapter_path")
+    out = attach_adapter(listed, ranked.withColumn("adapter_path", name("adapter_path")))
+    return out.select(F.col("adapter_path").alias("n_name"), "kept", F.col("adapter.r").cast("int").alias("r"), "c")
 
 
 @query(
@@ -298,11 +296,11 @@ def result_table_append(spark, sf_dir):
 
 @query(
     "inference_files",
-    "SELECT text AS instruction, 'The answer is: ' || length(text) || '. ' AS prediction FROM conversations WHERE role = 'user'",
+    "SELECT text AS instruction, 'The answer is: ' || length(text) || '. ' AS prediction FROM conversations",
 )
 def inference_files(spark, sf_dir):
     path = scratch(spark)
-    asked = table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.col("text").alias("instruction"))
+    asked = table(spark, sf_dir, "conversations").select(F.col("text").alias("instruction"))
     sinks.write_inference(jobs.infer(asked, lambda c: c, answer_with_length, 128), path)
     return readers.read_jsonl(spark, path, "instruction string, prediction string")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,8 +94,14 @@ def average_path_of(source: Column) -> Column:
     return F.concat(F.regexp_replace(plain, r"([^/])\.[^./]*\z", "$1"), F.lit("_avg.csv"))
 
 
-def write_named_csv(df: DataFrame, target: str = "target") -> int:
-    """Write the rows of each ``target`` to the CSV file of that name, in their order; returns the number of files.
+def write_json(df: DataFrame, path: str, by: str) -> None:
+    df.write.mode("overwrite").partitionBy(by).json(path)
+
+
+def write_named(df: DataFrame, write: Callable[[DataFrame, str, str], None] = write_csv, target: str = "target") -> int:
+    """Write the rows of each ``target`` to the file of that name, in their order; returns the number of files.
+
+    ``write`` puts rows into folders by a column, :func:`write_csv` or :func:`write_json`.
 
     Files are finished in the shared folder first, one task per file. Then each is copied next to its target under a hidden
     name and renamed over it, so that a reader sees the old file or the new one, and a run that
@@ -107,7 +114,7 @@ def write_named_csv(df: DataFrame, target: str = "target") -> int:
     # The order and the rows are written once: the same plan may not give the same order twice.
     rows = settle(keyed)
     files = rows.repartition("_g").sortWithinPartitions("_g", "_o").select("_g", *others)
-    write_csv(files, stage, "_g")
+    write(files, stage, "_g")
     written = 0
     for row in rows.groupBy("_g").agg(F.first(target).alias("target")).toLocalIterator():
         _put_in_place(spark, f"{stage}/_g={row['_g']}", row["target"])
@@ -148,7 +155,7 @@ def write_avg_beside(df: DataFrame) -> int:
         raise ValueError("no rows to write")
     if sources > targets:
         raise ValueError(f"{sources} sources would share {targets} files of averages")
-    return write_named_csv(rows.drop(SOURCE))
+    return write_named(rows.drop(SOURCE))
 
 
 def write_inference(df: DataFrame, path: str) -> None:
