@@ -114,7 +114,7 @@ def macro_mean(
     )
     ties = ["_order"] if order else keys
     # Means that agree in their ten written digits count as equal.
-    written = format_10g(F.col("metric_eval_mean_avg")).cast("double")
+    written = F.format_string("%.9e", "metric_eval_mean_avg").cast("double")
     return pooled.withColumn("_written", written).orderBy(F.desc("_written"), *ties).drop("_order", "_written")
 
 

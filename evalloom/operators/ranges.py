@@ -19,6 +19,8 @@ from evalloom.sources.scratch import settle
 
 MAX_RANGES = 4096
 HEAVY_SHARE = 10_000
+#: A table of ranges goes to all tasks while it cannot have more rows.
+SENT_ROWS = 100_000
 
 
 def range_count(spark: SparkSession) -> int:
@@ -127,9 +129,10 @@ def global_rank(
     cuts = W.partitionBy("_pr").orderBy("_tr").rowsBetween(W.unboundedPreceding, -1)
     before = sizes.join(outer, "_pr").select("_pr", "_tr", (F.col("_outer") + F.coalesce(F.sum("_n").over(cuts), F.lit(0))).alias("_before"))
     inside = W.partitionBy("_pr", "_tr").orderBy(*(order or [F.col(c) for c in keys.values()]))
+    sent = 2 * count * count <= SENT_ROWS
     return (
         placed.withColumn("_rn", F.row_number().over(inside))
-        .join(before, ["_pr", "_tr"])
+        .join(F.broadcast(before) if sent else before, ["_pr", "_tr"])
         .withColumn(name, (F.col("_before") + F.col("_rn")).cast("long"))
         .drop("_p", "_t", "_pr", "_tr", "_rn", "_before")
     )

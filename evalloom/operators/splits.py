@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evalloom.operators.counts import FEW
 from evalloom.operators.ranges import global_rank, sorted_rank
+from evalloom.sources.scratch import settle
 
 SPLIT_PATTERN = re.compile(r"\A(?P<name>[^\[]*)(?:\[(?P<range>.*?)\]*)?\Z", re.S)
 
@@ -37,12 +39,14 @@ def with_file_position(df: DataFrame, name: str = "idx") -> DataFrame:
         F.monotonically_increasing_id().alias("_mid"),
     )
     in_order = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = (
+    blocks = settle(
         placed.groupBy("_file", "_block")
         .agg(F.min("_mid").alias("_first"), F.greatest(F.count("*"), F.count(columns[0])).alias("_n"))
         .select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(in_order), F.lit(0)).alias("_before"))
     )
-    return placed.join(blocks, ["_file", "_block"]).select(
+    # One row per scanned block: so few that the lines need not be shuffled to meet them.
+    few = blocks.count() <= FEW
+    return placed.join(F.broadcast(blocks) if few else blocks, ["_file", "_block"]).select(
         *columns, (F.col("_mid") - F.col("_first") + F.col("_before")).alias(name)
     )
 
@@ -76,6 +80,20 @@ def slice_rows(df: DataFrame, start: int = 0, end: int | None = None, order: str
     return kept if end is None else kept.filter(F.col(order) < end)
 
 
+def split_condition(df: DataFrame, expr: str | None, order: str = "idx") -> tuple[Column, Column, int | None]:
+    """Condition of a split expression, the one of its name alone, and the rows it asks for at least."""
+    if expr is None:
+        raise ValueError("split expression must be provided")
+    name, start, end = parse_split(expr)
+    named = F.col("split") == name if "split" in df.columns else F.lit(True)
+    inside = named
+    if start:
+        inside = inside & (F.col(order) >= start)
+    if end is not None:
+        inside = inside & (F.col(order) < end)
+    return inside, named, end if end is not None and end > (start or 0) else None
+
+
 def split_slice(df: DataFrame, expr: str | None, order: str = "idx", strict: bool = True) -> DataFrame:
     """Rows of a split expression. With a ``split`` column the name selects, else it is ignored.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalloom.functions.core import or_empty, strip_ws
-from evalloom.operators.splits import check_splits, split_slice, with_file_position
+from evalloom.operators.splits import check_splits, split_condition, with_file_position
 from evalloom.sources.csvfiles import read_tables
 
 # Question and answer fields of the two evaluation files, and the adapter file name.
@@ -73,13 +73,21 @@ def load_splits(
 ) -> DataFrame:
     """Configured splits of an indexed dataset in one frame, ``split`` naming each; ``train`` is always there."""
     chosen = {"train": train_split, "validation": eval_split, "test": test_split}
-    out: DataFrame | None = None
-    for split, expr in chosen.items():
-        if split != "train" and not expr:
-            continue
-        part = split_slice(df, expr, order).withColumn("split", F.lit(split))
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = {split: split_condition(df, expr, order) for split, expr in chosen.items() if split == "train" or expr}
+    asked = {split: end for split, (_, _, end) in found.items() if end is not None}
+    if asked:
+        # All ends are checked in one read of the index.
+        last = df.agg(*[F.max(F.when(found[split][1], F.col(order))).alias(split) for split in asked]).first()
+        for split, end in asked.items():
+            if last[split] is None or end > last[split] + 1:
+                raise IndexError(f"{chosen[split]!r} reaches past {0 if last[split] is None else last[split] + 1} rows")
+    # One read for all splits; a row in several of them comes once for each.
+    any_of = F.lit(False)
+    for inside, _, _ in found.values():
+        any_of = any_of | inside
+    names = F.array_compact(F.array(*[F.when(inside, F.lit(split)) for split, (inside, _, _) in found.items()]))
+    others = [c for c in df.columns if c != "split"]
+    return df.filter(any_of).select(*others, F.explode(names).alias("split"))
 
 
 def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType) -> DataFrame:

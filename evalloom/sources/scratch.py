@@ -39,6 +39,11 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def made(spark: SparkSession) -> list[str]:
+    """Folders that :func:`scratch` named in this session and :func:`discard` has not deleted."""
+    return list(_MADE.get(spark.sparkContext.applicationId, []))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write a frame once as parquet and read it back.
 
