@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.llm.components import connected
-from evalloom.llm.words import U64, byte_slices, mix, shingle_sets
+from evalloom.llm.words import U64, byte_slices, mix, shingle_sets, tidy
 from evalloom.sources.scratch import settle
 
 SHINGLE = 5
@@ -194,7 +194,7 @@ def summaries(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "mark", "n", "g", "heads"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, mark long, n long, g long, heads array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, mark long, n long, g long, heads array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                     own = pa.ListArray.from_arrays(pa.array(marks, pa.int32()), flat)
                     yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.int64()), own], names=["g", "own"])
 
-    return docs.select("text").mapInArrow(run, "g long, own array<long>")
+    return docs.select("text").mapInArrow(tidy(run), "g long, own array<long>")
 
 
 def _alpha(n: str):

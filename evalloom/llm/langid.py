@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalloom.llm.words import byte_slices, text_bytes
+from evalloom.llm.words import byte_slices, text_bytes, tidy
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -184,7 +184,7 @@ def train(docs: DataFrame, usable: Column) -> ByteNet | None:
     sample = ranked.groupBy("lang", "_h").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
     fetched = keyed.join(F.broadcast(sample), ["lang", "_h"]).groupBy("lang", "_h").agg(F.first("text").alias("text"), F.first("_copies").alias("_copies"))
     chosen = fetched.select("lang", "text", F.explode(F.sequence(F.lit(1), "_copies"))).select("lang", "text")
-    found = chosen.mapInArrow(_spread_windows, "lang string, codes binary").collect()
+    found = chosen.mapInArrow(tidy(_spread_windows), "lang string, codes binary").collect()
     langs = sorted({r["lang"] for r in found})
     if not langs:
         return None
@@ -197,21 +197,24 @@ def train(docs: DataFrame, usable: Column) -> ByteNet | None:
 
 def predict(docs: DataFrame, net: ByteNet | None, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Columns ``keep`` of ``docs`` with the language and its probability, called ``names``. One pass, no shuffle."""
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
+    # A kept text is sent once.
+    sent = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)]
+    rows = docs.select(*sent, *([] if "text" in keep else [F.col("text").alias("_text")]))
+    at = keep.index("text") if "text" in keep else len(keep)
     fields = [f"_k{i} {rows.schema[f'_k{i}'].dataType.simpleString()}" for i in range(len(keep))]
     schema = ", ".join([*fields, "lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else []
         for batch in batches:
-            column = batch.column(len(keep))
+            column = batch.column(at)
             for lo, hi in byte_slices(column, 1 << 20):
                 lang, score = _predict_some(net, tables, column.slice(lo, hi - lo))
                 own = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
                 fields = [*[f"_k{i}" for i in range(len(keep))], "lang_pred", "score"]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=fields)
 
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(tidy(run), schema)
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalloom.llm.words import byte_slices, words_of
+from evalloom.llm.words import byte_slices, tidy, words_of
 from evalloom.sources.scratch import settle
 
 K = 10
@@ -175,7 +175,7 @@ def _postings(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(total[own], pa.int64()), *lists], names=["doc_id", "n", "terms", "counts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n long, terms binary, counts binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, n long, terms binary, counts binary")
 
 
 def _document_counts(postings: DataFrame, size: int) -> np.ndarray:
@@ -188,7 +188,7 @@ def _document_counts(postings: DataFrame, size: int) -> np.ndarray:
         terms = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(seen[terms])], names=["term", "df"])
 
-    counted = postings.select("terms").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    counted = postings.select("terms").mapInArrow(tidy(run), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     out = np.zeros(size, np.int64)
     for row in counted.toLocalIterator():  # one row per term of the block
         out[row["term"]] = row["df"]
@@ -234,7 +234,7 @@ def _search_block(docs: DataFrame, block: list[tuple[int, np.ndarray, np.ndarray
         found = [pa.array(rows[item]), pa.array(ids, pa.int64(), mask=nameless), pa.array(score)]
         yield pa.RecordBatch.from_arrays(found, names=["_i", "doc_id", "score"])
 
-    return postings.mapInArrow(run, "_i long, doc_id long, score long")
+    return postings.mapInArrow(tidy(run), "_i long, doc_id long, score long")
 
 
 def _item_terms(items: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def _item_terms(items: DataFrame) -> DataFrame:
                 lists = [pa.array([x[j].astype(kind).tobytes() for x in found], pa.binary()) for j, kind in ((0, "<u8"), (1, "<i8"))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *lists], names=["_i", "terms", "times"])
 
-    return items.select("_i", "text").mapInArrow(run, "_i long, terms binary, times binary")
+    return items.select("_i", "text").mapInArrow(tidy(run), "_i long, terms binary, times binary")
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.llm.components import connected
-from evalloom.llm.words import byte_slices, words_of
+from evalloom.llm.words import byte_slices, tidy, words_of
 from evalloom.operators.ranges import lookup
 from evalloom.sources.scratch import settle
 
@@ -95,7 +95,7 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
             found = pa.array(fingerprints(batch.column(1)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _cells(fp: Column, numbered: list[tuple[int, tuple[int, ...]]]) -> Column:
@@ -214,7 +214,7 @@ def _links(postings: DataFrame, fives: bool) -> DataFrame:
         if held:
             yield from emit(np.concatenate([c for c, _ in held]), np.concatenate([f for _, f in held]))
 
-    return postings.select("cell", "fp").repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(run, "a long, b long")
+    return postings.select("cell", "fp").repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_links(classes: DataFrame) -> DataFrame:

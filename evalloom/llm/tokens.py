@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm.words import byte_slices
+from evalloom.llm.words import FORGET, byte_slices, tidy
 
 CHUNK_BITS = 8
 SUPERBLOCK = 512
@@ -125,6 +125,7 @@ _WORDS = re.compile(
     rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^ \n\t\r{_LETTERS}{_NUMBERS}]+|[ \n\t\r]+(?![^ \n\t\r])|[ \n\t\r]+"
 )
 _encoders: dict[str, Encoder] = {}
+FORGET.append(_encoders.clear)
 
 
 def _byte_letters() -> dict[int, int]:
@@ -237,7 +238,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, pa
         .repartitionByRange(parts, "doc_id", "_tie")
         .sortWithinPartitions("doc_id", "_tie", "text")
         .select("doc_id", "text")
-        .mapInArrow(encode, FILES_SCHEMA)
+        .mapInArrow(tidy(encode), FILES_SCHEMA)
         .write.option("maxRecordsPerFile", 0)
         .parquet(path)
     )
@@ -289,7 +290,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             )
 
     rows = read_dataset(spark, path).select("doc_id", "start", "codes")
-    return rows.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(tidy(digest), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokens_at(spark: SparkSession, path: str, positions: DataFrame, bucket: int = 1 << 16) -> DataFrame:
