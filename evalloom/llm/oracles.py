@@ -77,17 +77,19 @@ def mixed() -> str:
 
 def perspectives(turns_per_part: int) -> str:
     return f"""
-    WITH turns AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
-    sides AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'),
+    WITH said AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+    turns AS (
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(speaker || chr(10) || text), speaker, text) - 1 AS place FROM said
+    ), sides AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'),
     pieces AS (
-      SELECT t.conv_id, perspective, turn, speaker, text, speaker = perspective AS loss,
+      SELECT t.conv_id, perspective, place, speaker, text, speaker = perspective AS loss,
         CASE WHEN speaker = 'system' THEN '<|system|>' WHEN speaker = perspective THEN '<|assistant|>'
           ELSE concat('<|user:', speaker, '|>') END || chr(10) AS head
       FROM turns t JOIN sides s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
-    ), cut AS (SELECT *, head || text || '<|end|>' || chr(10) AS piece, coalesce(CAST(turn // {turns_per_part} AS BIGINT), -1) AS part FROM pieces),
+    ), cut AS (SELECT *, head || text || '<|end|>' || chr(10) AS piece, CAST(place // {turns_per_part} AS BIGINT) AS part FROM pieces),
     placed AS (
       SELECT *, coalesce(sum(length(piece)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER w AS pos
-      FROM cut WINDOW w AS (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, speaker, text)
+      FROM cut WINDOW w AS (PARTITION BY conv_id, perspective, part ORDER BY place)
     )
     SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(piece, '' ORDER BY pos) AS rendered,
       coalesce(string_agg(CAST(before + length(head) AS BIGINT) || '-' || CAST(before + length(piece) - 1 AS BIGINT), ',' ORDER BY pos) FILTER (loss), '') AS spans

@@ -653,7 +653,8 @@ def test_perspectives(spark):
     for r in chat.render(frame, 16).collect():
         parts[r["conv_id"], r["perspective"]].append(r)
     assert set(parts) == {(1, "user"), (1, "assistant"), (1, "tool"), (1, "unknown"), (None, "user")}
-    ordered = sorted([r for r in rows if r[0] == 1], key=lambda r: (r[1], r[2] or "unknown", r[3] or ""))
+    digest = lambda r: hashlib.md5(f"{r[2] or 'unknown'}\n{r[3] or ''}".encode()).hexdigest()
+    ordered = sorted([r for r in rows if r[0] == 1], key=lambda r: (r[1], digest(r)))
     for side in ("user", "assistant", "tool", "unknown"):
         want, said = "", []
         for _, _, role, text in ordered:
@@ -663,6 +664,24 @@ def test_perspectives(spark):
             if who == side:
                 said.append(f"{text or ''}<|end|>")
         own = sorted(parts[1, side], key=lambda r: r["part"])
-        assert "".join(r["rendered"] for r in own) == want and max(r["n_turns"] for r in own) <= 18
+        assert "".join(r["rendered"] for r in own) == want and max(r["n_turns"] for r in own) <= 16
         assert [r["rendered"][s["start"] : s["end"]] for r in own for s in r["spans"]] == said
     assert chat.render(frame.filter("false")).count() == 0
+
+
+def test_parts_are_bounded_whatever_the_turns(spark):
+    """Null conversations, null turns, one turn number for many rows, and copies of one row."""
+    rows = [(None, None, "user", f"t{i % 50}") for i in range(300)] + [(None, 7, "tool", "same") for _ in range(200)]
+    rows += [(5, 3, "user", f"u{i}") for i in range(120)] + [(5, None, None, None)] * 70
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat.render(frame, 16).collect()
+    assert max(r["n_turns"] for r in found) <= 16
+    count = collections.Counter()
+    for r in found:
+        count[r["conv_id"], r["perspective"]] += r["n_turns"]
+    assert count == {(None, "user"): 500, (None, "tool"): 500, (5, "user"): 190, (5, "unknown"): 190}
+    parts = sorted((r for r in found if r["conv_id"] is None and r["perspective"] == "tool"), key=lambda r: r["part"])
+    whole = "".join(r["rendered"] for r in parts)
+    assert whole.index("<|assistant|>") > whole.rindex("<|user:user|>") and whole.count("same") == 200
+    pos = sorted(tuple(r) for r in chat.with_position(chat._turns(frame)).select(F.coalesce("conv_id", F.lit(-1)), "pos").collect())
+    assert pos == [(-1, i) for i in range(500)] + [(5, i) for i in range(190)]
