@@ -350,21 +350,21 @@ class PriceAuc(BinnedAuc):
     "user_metric_auc",
     f"""
     WITH b AS (
-        SELECT l_shipmode, greatest(0, least({AUC_BINS - 1}, CAST(floor(l_extendedprice * {AUC_BINS} / 100000.0) AS BIGINT))) AS bin,
+        SELECT l_linestatus, greatest(0, least({AUC_BINS - 1}, CAST(floor(l_extendedprice * {AUC_BINS} / 100000.0) AS BIGINT))) AS bin,
                count(*) FILTER (l_returnflag = 'R') AS pos, count(*) FILTER (l_returnflag <> 'R') AS neg
         FROM lineitem GROUP BY 1, 2),
-    c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY l_shipmode ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b),
+    c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY l_linestatus ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b),
     a AS (
-        SELECT l_shipmode, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS share FROM lineitem GROUP BY 1)
-    SELECT l_shipmode, CAST(sum(pos * (2 * below + neg)) AS DOUBLE) / CAST(2 * sum(pos) * sum(neg) AS DOUBLE) AS auc, round(any_value(share), 9) AS accuracy
-    FROM c JOIN a USING (l_shipmode) GROUP BY 1
+        SELECT l_linestatus, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS share FROM lineitem GROUP BY 1)
+    SELECT l_linestatus, CAST(sum(pos * (2 * below + neg)) AS DOUBLE) / CAST(2 * sum(pos) * sum(neg) AS DOUBLE) AS auc, round(any_value(share), 9) AS accuracy
+    FROM c JOIN a USING (l_linestatus) GROUP BY 1
     """,
 )
 def user_metric_auc(spark, sf_dir):
-    """A user's metric and a built-in one of one task, per ship mode."""
+    """A user's metric and a built-in one of one task, per line status."""
     metrics.register_metric("returns", "accuracy")
     metrics.register_metric("returns", "auc", PriceAuc())
     returned = (F.col("l_returnflag") == "R").cast("int")
-    rows = table(spark, sf_dir, "lineitem").select("l_shipmode", "l_extendedprice", returned.alias("returned"))
-    out = metrics.task_metric(rows.withColumns({"pred": F.lit(1), "label": F.col("returned")}), "returns", ["l_shipmode"])
+    rows = table(spark, sf_dir, "lineitem").select("l_linestatus", "l_extendedprice", returned.alias("returned"))
+    out = metrics.task_metric(rows.withColumns({"pred": F.lit(1), "label": F.col("returned")}), "returns", ["l_linestatus"])
     return out.withColumn("accuracy", F.round("accuracy", 9))

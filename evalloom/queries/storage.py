@@ -74,6 +74,13 @@ RESULT_AVERAGES = """
 """
 
 
+# Means are written in ten digits, and averaged as they are read back. Five places leave no halves among thirds of them.
+MACRO_MEANS = f"""
+    SELECT base_model, init_lora_weights, round(avg(CAST(format('{{:.10g}}', mean) AS DOUBLE)), 5) AS mean, count(*) AS n
+    FROM ({RESULT_AVERAGES}) GROUP BY 1, 2
+"""
+
+
 def _result_averages(spark, sf_dir, path):
     """Averages per written result folder. Spark writes a folder of part files per result table."""
     _write_results(spark, sf_dir, path)
@@ -99,7 +106,7 @@ def result_csv_leaderboard(spark, sf_dir):
 
 @query(
     "result_csv_macro_mean",
-    f"SELECT base_model, init_lora_weights, round(avg(mean), 3) AS mean, count(*) AS n FROM ({RESULT_AVERAGES}) GROUP BY 1, 2",
+    MACRO_MEANS,
 )
 def result_csv_macro_mean(spark, sf_dir):
     path = scratch(spark)
@@ -107,7 +114,7 @@ def result_csv_macro_mean(spark, sf_dir):
     rows = readers.read_result_csv(spark, readers.scan_results(spark, [f"{path}/avg"], "*.csv"))
     out = lb.macro_mean(rows, ["base_model", "init_lora_weights"], order="row_order")
     return out.select(
-        "base_model", "init_lora_weights", F.round("metric_eval_mean_avg", 3).alias("mean"), F.col("metric_eval_mean_n").alias("n")
+        "base_model", "init_lora_weights", F.round("metric_eval_mean_avg", 5).alias("mean"), F.col("metric_eval_mean_n").alias("n")
     )
 
 
@@ -176,7 +183,7 @@ def result_csv_headers(spark, sf_dir):
 
 @query(
     "leaderboard_chain",
-    f"SELECT base_model, init_lora_weights, round(avg(mean), 3) AS mean, count(*) AS n FROM ({RESULT_AVERAGES}) GROUP BY 1, 2",
+    MACRO_MEANS,
 )
 def leaderboard_chain(spark, sf_dir):
     """Result files of three datasets, their averages written beside them, and the macro mean over what is found there."""
@@ -191,7 +198,7 @@ def leaderboard_chain(spark, sf_dir):
     keys = ["base_model", "init_lora_weights"]
     jobs.write_leaderboard(spark, [path], keys=keys)
     out = jobs.build_macro_mean(spark, [path], keys)
-    return out.select(*keys, F.round("metric_eval_mean_avg", 3).alias("mean"), F.col("metric_eval_mean_n").alias("n"))
+    return out.select(*keys, F.round("metric_eval_mean_avg", 5).alias("mean"), F.col("metric_eval_mean_n").alias("n"))
 
 
 @query(
