@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from evalloom.operators.ranges import lookup, running_before
 
-#: Up to so many rows a table goes to all tasks, or through one plain window.
-FEW = 100_000
+#: Up to so many rows of numbers a table goes to all tasks, or through one plain window: some tens of megabytes.
+FEW = 500_000
+#: The same for tables that hold texts.
+FEW_TEXTS = 10_000
 
 
 def lower_rows(counts: DataFrame, by: Sequence[str], value: str, n: str, name: str) -> DataFrame:
@@ -23,9 +25,9 @@ def lower_rows(counts: DataFrame, by: Sequence[str], value: str, n: str, name: s
 
 
 def attach(df: DataFrame, table: DataFrame, on: Sequence[str], weight: str) -> DataFrame:
-    """Join a written table (unique on ``on``; ``weight`` rows each) to ``df``; nulls in ``on`` are equal."""
+    """Join a table (unique on ``on``; ``weight`` rows each) to ``df``; nulls in ``on`` are equal."""
     keyed = table.select(F.struct(*on).alias("_key"), *[c for c in table.columns if c not in on])
     rows = df.withColumn("_key", F.struct(*on))
-    if table.count() > FEW:
-        return lookup(rows, keyed, ["_key"], weight, stored=True).drop("_key")
+    if table.limit(FEW + 1).count() > FEW:
+        return lookup(rows, keyed, ["_key"], weight).drop("_key")
     return rows.join(F.broadcast(keyed.drop(weight)), "_key", "left").drop("_key")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evalloom.functions import arrays, text
 from evalloom.functions.core import or_empty, strip_ws
-from evalloom.operators.counts import FEW
+from evalloom.operators.counts import FEW_TEXTS
 from evalloom.operators.ranges import lookup, sorted_rank
 from evalloom.sources.scratch import settle
 
@@ -21,10 +21,10 @@ TOKEN_BREAK = r"\s+"
 def attach_template(df: DataFrame, templates: DataFrame, default: str = text.DEFAULT_TEMPLATE) -> DataFrame:
     """Template of each row by ``type`` from a (type, template) table; others get the default.
 
-    A table of up to ``FEW`` templates goes to all tasks; rows are then not shuffled by their type, which a few types share.
+    A table of up to ``FEW_TEXTS`` templates goes to all tasks; rows are then not shuffled by their type, which a few types share.
     """
     named = templates.select("type", "template")
-    few = named.limit(FEW + 1).count() <= FEW
+    few = named.limit(FEW_TEXTS + 1).count() <= FEW_TEXTS
     return df.join(F.broadcast(named) if few else named, "type", "left").withColumn("template", F.coalesce("template", F.lit(default)))
 
 

@@ -124,17 +124,19 @@ def correlations(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     by = list(by)
     both = df.select(*by, F.col("pred").cast("double").alias("pred"), F.col("label").cast("double").alias("label"))
     pairs = settle(both.dropna(subset=["pred", "label"]).groupBy(*by, "pred", "label").agg(F.count("*").alias("_w")))
-    placed = pairs
-    for side in ("pred", "label"):
-        placed = attach(placed, settle(rank_table(pairs, side, by, "_w")), [*by, side], "_n")
+    sums = [(F.sum(F.col(c) * F.col("_w")) / F.sum("_w")).alias(f"{c}_mean") for c in ("pred", "label")]
+    means = pairs.groupBy(*by).agg(F.sum("_w").alias("_n"), *sums)
+    # Ranks that share ties have the mean of plain ranks.
+    middle = [((F.col("_n") + 1) / 2).alias(f"{side}_rank_mean") for side in ("pred", "label")]
+    means = means.select(*by, "pred_mean", "label_mean", *middle, "_n")
     columns = ("pred", "label", "pred_rank", "label_rank")
-    weighted = [(F.sum(F.col(c) * F.col("_w")) / F.sum("_w")).alias(f"{c}_mean") for c in columns]
-    placed = settle(placed)
-    means = settle(placed.groupBy(*by).agg(F.sum("_w").alias("_n"), *weighted))
+    centred = pairs
+    for side in ("pred", "label"):
+        centred = attach(centred, rank_table(pairs, side, by, "_w"), [*by, side], "_n")
     if by:
-        centred = attach(placed, means, by, "_n")
+        centred = attach(centred, means, by, "_n")
     else:
-        centred = placed.withColumns({f"{c}_mean": F.lit(v) for c, v in zip(columns, means.first()[1:], strict=True)})
+        centred = centred.withColumns({f"{c}_mean": F.lit(v) for c, v in zip(columns, means.first(), strict=False)})
     moved = centred.select(*by, "_w", *[(F.col(c) - F.col(f"{c}_mean")).alias(c) for c in columns])
     product = lambda x, y: F.sum(F.col(x) * F.col(y) * F.col("_w"))
     ratio = lambda x, y: F.try_divide(product(x, y), F.sqrt(product(x, x)) * F.sqrt(product(y, y)))

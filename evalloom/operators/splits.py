@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalloom.operators.counts import FEW
+from evalloom.operators.counts import FEW_TEXTS
 from evalloom.operators.ranges import global_rank, sorted_rank
 from evalloom.sources.scratch import settle
 
@@ -45,7 +45,7 @@ def with_file_position(df: DataFrame, name: str = "idx") -> DataFrame:
         .select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(in_order), F.lit(0)).alias("_before"))
     )
     # One row per scanned block: so few that the lines need not be shuffled to meet them.
-    few = blocks.count() <= FEW
+    few = blocks.count() <= FEW_TEXTS
     return placed.join(F.broadcast(blocks) if few else blocks, ["_file", "_block"]).select(
         *columns, (F.col("_mid") - F.col("_first") + F.col("_before")).alias(name)
     )
