@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from evalloom.llm import chat, components, decontaminate, forest, jaccard, langid, linededup, lm, mixing, sharding, tokens, words
 from evalloom.llm.queries import line_dedup, tokenizer_path
-from evalloom.sources.scratch import scratch
+from evalloom.sources.scratch import made, scratch
 
 SF = "/root/testdata/sf0.001"
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -253,6 +253,24 @@ def test_tree_links_and_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 100: 90}
 
 
+def test_few_links_need_no_rounds(spark, monkeypatch):
+    """One stored table and one pass however long the chain; rounds give the same, repeated and turned links included."""
+    rng = random.Random(3)
+    chain = [(i, i + 1) if i % 2 else (i + 1, i) for i in range(60)]
+    pairs = chain + chain[:9] + [(7, 7), (-5, 2**62), (2**62, 900)] + [(500, 500 + i) for i in range(1, 30)]
+    rng.shuffle(pairs)
+    links = spark.createDataFrame(pairs, "a long, b long")
+    before = len(made(spark))
+    found = components.connected(links)
+    assert len(made(spark)) == before + 1
+    got = sorted(map(tuple, found.collect()))
+    want = [(i, 0) for i in range(61)] + [(x, -5) for x in (-5, 900, 2**62)] + [(500 + i, 500) for i in range(30)]
+    assert got == sorted(want)
+    assert components.connected(links.filter("false")).collect() == []
+    monkeypatch.setattr(components, "FEW_LINKS", 0)
+    assert sorted(map(tuple, components.connected(links).collect())) == got
+
+
 # 5 ---------------------------------------------------------------------------------------------
 
 
