@@ -25,11 +25,12 @@ does by default (as their ids).
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,8 @@ from evalloom.llm.words import FORGET, byte_slices, tidy
 
 CHUNK_BITS = 8
 SUPERBLOCK = 512
-#: Pieces, and words, whose ids a worker keeps at most; beyond it that memory starts anew.
-CACHE_PIECES = 600_000
+#: Pieces, words among them, whose ids a worker keeps at most; beyond it that memory starts anew.
+CACHE_PIECES = 1_200_000
 #: Texts are encoded in slices of about this size (or one text).
 SLICE_BYTES = 1 << 20
 FILES_SCHEMA = "part int, row long, doc_id long, offset long, n_tokens long, codes binary"
@@ -118,6 +119,10 @@ _ODD = re.compile("[" + "".join(map(chr, _ODD_SPACES)) + "]")
 _RUNS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 #: Stands for "no space before" in the memory's keys.
 BARE = "\0"
+#: A line feed between two non-spaces, as a piece of its own with the one after it bare, in a text that is cut at spaces.
+_LINE = f" {BARE}\n {BARE}"
+#: What may follow a word of letters as one word of marks; an apostrophe may be part of a contraction.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Pieces of characters below this one are cut into words here, by the byte-level pre-tokenizer's rule.
 LATIN_END = "\u0250"
 _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
@@ -125,14 +130,35 @@ _WORDS = re.compile(
     rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^ \n\t\r{_LETTERS}{_NUMBERS}]+|[ \n\t\r]+(?![^ \n\t\r])|[ \n\t\r]+"
 )
 _encoders: dict[str, Encoder] = {}
-FORGET.append(_encoders.clear)
 
 
-def _byte_letters() -> dict[int, int]:
-    """The character that stands for each byte in byte-level vocabularies."""
+def _forget() -> None:
+    for encoder in _encoders.values():
+        encoder.seen.clear()
+    _encoders.clear()
+
+
+FORGET.append(_forget)
+
+
+def _byte_letters() -> str:
+    """The characters that stand for the 256 bytes in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = sorted(set(range(256)) - set(shown))
-    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+    named = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+    return "".join(chr(named[b]) for b in range(256))
+
+
+class Memory(dict):
+    """Pieces and their ids as bytes; one that is asked for the first time is made."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        raw = self[piece] = self.make(piece)
+        return raw
 
 
 class Encoder:
@@ -140,8 +166,8 @@ class Encoder:
 
     The byte-level pre-tokenizer never joins what stands before and after the end of a
     non-space run, so a text is the concatenation of its pieces "spaces, then
-    non-spaces". Latin pieces are cut into words and each new word goes to the library's merge
-    model; other pieces go to the whole library. Texts with rare white space or special tokens, and all
+    non-spaces". Latin pieces are cut into words, which are kept as pieces of their own, and each new word goes to the
+    library's merge model; other pieces go to the whole library. Texts with rare white space or special tokens, and all
     texts of a vocabulary with another pre-tokenizer or a normalizer, are encoded whole.
     """
 
@@ -156,8 +182,7 @@ class Encoder:
         )
         self.letters = _byte_letters()
         self.marks = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
-        self.seen: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.seen = Memory(self._piece)
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -175,36 +200,40 @@ class Encoder:
             return None
         if text[0] == " " or text[-1] == " " or any(r in text for r in _RUNS):
             return [x[1:] if x[0] == " " else BARE + x for x in _PLAIN.findall(text)]
+        if "\n" in text and not ("\n" in (text[0], text[-1]) or "\n\n" in text or "\t" in text or "\r" in text):
+            text = text.replace("\n", _LINE)
         pieces = text.split(" ")
         pieces[0] = BARE + pieces[0]
         return pieces
 
     def _word(self, word: str) -> bytes:
-        found = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-        raw = self.words[word] = struct.pack(f"<{len(found)}I", *found)
-        return raw
+        found = self.model.tokenize(codecs.charmap_decode(word.encode(), "strict", self.letters)[0])
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
     def _piece(self, piece: str) -> bytes:
         text = piece[1:] if piece[:1] == BARE else " " + piece
         if not (text.isascii() or max(text) < LATIN_END):
             return self._library(text)
-        known = self.words
-        return b"".join([known.get(w) or self._word(w) for w in _WORDS.findall(text)])
+        # Letters alone are one word; ``isalpha`` and ``_LETTERS`` agree below ``LATIN_END``.
+        if piece.isalpha():
+            return self._word(text)
+        letters = piece.rstrip(_MARKS)
+        if letters.isalpha():
+            return self.seen[letters] + self.seen[BARE + piece[len(letters) :]]
+        words = _WORDS.findall(text)
+        if len(words) == 1:
+            return self._word(text)
+        return b"".join([self.seen[w[1:] if w[0] == " " else BARE + w] for w in words])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
-        for memory in (self.seen, self.words):
-            if len(memory) > CACHE_PIECES:
-                memory.clear()
-        seen, cut = self.seen, [self._pieces(t) if t else [] for t in texts]
-        fresh: set[str] = set()
-        for pieces in cut:
-            if pieces:
-                fresh.update(pieces)
-        for piece in fresh.difference(seen):
-            seen[piece] = self._piece(piece)
-        get = seen.__getitem__
-        return [b"".join(map(get, pieces)) if pieces is not None else self._library(text) for text, pieces in zip(texts, cut, strict=True)]
+        if len(self.seen) > CACHE_PIECES:
+            self.seen.clear()
+        get, out = self.seen.__getitem__, []
+        for text in texts:
+            pieces = self._pieces(text) if text else []
+            out.append(b"".join(map(get, pieces)) if pieces is not None else self._library(text))
+        return out
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, parts: int | None = None) -> None:

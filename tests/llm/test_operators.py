@@ -131,6 +131,18 @@ def test_token_files(spark, docs, odd, none):
     assert {r["position"]: (r["doc_id"], r["token"]) for r in got} == {i: whole[i] for i in asked if i in whole}
 
 
+def test_words_are_kept_once():
+    """Line ends and marks after words make no pieces of their own in the memory; ids are the library's."""
+    encoder = tokens.Encoder(tokenizer_path())
+    names = [f"{a}{b}" for a in ("andon", "Reina", "él", "ß") for b in ("aea", "schen", "ü", "x", "our")]
+    texts = [" ".join(f"{x}{end}{y}" for y in names) for x in names for end in (",\n", ".\n", "\n", "!'\n")]
+    odd = ["a\n", "\na", "a\n\nb", "a \n b", "a\tb\nc", "a\r\nb", "\n", " ", "it's,\nwe'll", "x'd.\n's", "1,\n2²", "×÷\nª", "ж,\nж", "a,語\nb"]
+    assert encoder.encode(texts + odd) == [encoder._library(t) for t in texts + odd]
+    encoder.seen.clear()
+    encoder.encode(texts)
+    assert len(encoder.seen) < 10 * len(names)
+
+
 # 3 ---------------------------------------------------------------------------------------------
 
 
