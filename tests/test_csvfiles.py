@@ -8,6 +8,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from evalloom.operators.leaderboard import leaderboard
 from evalloom.plans import jobs
 from evalloom.sources import csvfiles, readers, sinks
 
@@ -148,3 +149,23 @@ def test_shared_targets_and_paths(spark):
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     got = [r[0] for r in df.select(sinks.average_path_of(F.col("p"))).collect()]
     assert got == [sinks.average_path(p) for p in paths]
+
+
+def test_text_is_scanned_before_rows_come_back(spark, tmp_path):
+    """Rows read stored lines and stored joined records: no text scan, window or grouping is left in their plan."""
+    (tmp_path / "a_results.csv").write_text('x,"y\nz"\n1,"2\n3"\n4,5\n')
+    (tmp_path / "b_results.csv").write_text("x,w\n6,7\n")
+    rows, headers = csvfiles.read_tables(spark, [str(tmp_path)])
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    assert headers == 2 and "FileScan parquet" in plan
+    assert "FileScan text" not in plan and "Window" not in plan
+    got = sorted((r["x"], r["y\nz"] or "", r["w"] or "") for r in rows.collect())
+    assert got == [("1", "2\n3", ""), ("4", "5", ""), ("6", "", "7")]
+
+
+def test_leaderboard_groups_once(spark):
+    """What sorts the averages reads them from a stored table."""
+    rows = spark.createDataFrame([("m", 1.0), ("m", 3.0), ("n", 5.0)], "k string, v double")
+    table = leaderboard(rows, ["k"], "v")
+    assert "Aggregate" not in table._jdf.queryExecution().sparkPlan().toString()
+    assert [tuple(r) for r in table.collect()] == [("n", 5.0, 0.0, 1), ("m", 2.0, 2.0**0.5, 2)]
