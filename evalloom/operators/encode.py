@@ -28,9 +28,12 @@ def attach_template(df: DataFrame, templates: DataFrame, default: str = text.DEF
     return df.join(F.broadcast(named) if few else named, "type", "left").withColumn("template", F.coalesce("template", F.lit(default)))
 
 
-def split_words(value: Column) -> Column:
-    """White-space separated tokens."""
-    return F.filter(F.split(or_empty(value), TOKEN_BREAK), lambda t: t != "")
+def split_words(value: Column, most: int | None = None) -> Column:
+    """White-space separated tokens, the first ``most`` if given; what stands after these is not split then."""
+    if most is None:
+        return F.array_remove(F.split(or_empty(value), TOKEN_BREAK), "")
+    # One piece more for what may stand before the first break, one for the rest.
+    return F.slice(F.array_remove(F.slice(F.split(or_empty(value), TOKEN_BREAK, most + 2), 1, most + 1), ""), 1, most)
 
 
 def build_vocab(df: DataFrame, column: str, first_id: int = 0, words: Callable[[Column], Column] = split_words) -> DataFrame:
@@ -63,10 +66,15 @@ class VocabTokenizer:
         if lengths:
             df = df.withColumns({f"{out}_n": F.size(self.words(F.col(source))) for out, source in columns.items()})
             keep = [*keep, *[f"{out}_n" for out in columns]]
-        first = lambda words: words if most is None else F.slice(words, 1, most)
+
+        def first(value: Column) -> Column:
+            if self.words is split_words:
+                return split_words(value, most)
+            return self.words(value) if most is None else F.slice(self.words(value), 1, most)
+
         sides = F.array(
             *[
-                F.struct(F.lit(out).alias("side"), first(self.words(F.col(source))).alias("words"))
+                F.struct(F.lit(out).alias("side"), first(F.col(source)).alias("words"))
                 for out, source in columns.items()
             ]
         )

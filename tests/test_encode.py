@@ -195,3 +195,11 @@ def test_templates_are_checked(spark):
     df = spark.createDataFrame([(0, "a", "b")], "idx long, a string, b string")
     with pytest.raises(ValueError, match="special ids"):
         encode.encode_pair(df, encode.ArrowTokenizer(list), ["a", "b"], 3, keep=["idx"], template=template)
+
+
+def test_first_words_are_cut_without_splitting_the_rest(spark):
+    texts = [None, "", " ", "a", " a b", "a b ", "a b c d e", "\ta\n\nb  c d", "a b c"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for most in (0, 1, 2, 3, 9):
+        got = [r[0] for r in rows.select(encode.split_words(F.col("t"), most)).collect()]
+        assert got == [(t or "").split()[:most] for t in texts]
