@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.llm.components import connected
@@ -220,8 +220,10 @@ def _alpha(n: str):
 def _survivors(rows: DataFrame) -> DataFrame:
     """Nodes of step 2 with the smallest doc_id that holds each: (g, n, first_id)."""
     post = rows.filter("g is not null").select("g", F.explode("heads").alias("h"))
-    shared = post.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("h")
-    counts = post.join(shared, "h", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    # A window moves the hashes once; counting them first and joining the counts back would move them twice.
+    holders = Window.partitionBy("h")
+    shared = post.select("g", (F.min("g").over(holders) < F.max("g").over(holders)).alias("shared")).filter("shared")
+    counts = shared.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
     nodes = rows.filter("g is not null").groupBy("g").agg(
         F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.min("doc_id").alias("first_id")
     )
@@ -232,8 +234,8 @@ def _survivors(rows: DataFrame) -> DataFrame:
 def _blocks(sets: DataFrame) -> DataFrame:
     """(g, block) of nodes that share a rare shingle with another."""
     tokens = sets.select("g", "n", F.explode("own").alias("h"))
-    common = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    held = tokens.join(common, "h").groupBy("g", "n").agg(F.collect_list(F.struct("df", "h")).alias("held"))
+    common = tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("df > 1")
+    held = common.groupBy("g", "n").agg(F.collect_list(F.struct("df", "h")).alias("held"))
     # Shingles that no other node holds come first in the order and use up their share of the prefix.
     room = F.col("n") - _alpha("n") + 1 - (F.col("n") - F.size("held"))
     rare = held.withColumn("room", room.cast("int")).filter("room > 0").select("g", F.explode(F.slice(F.array_sort("held"), F.lit(1), F.col("room"))).alias("t"))
