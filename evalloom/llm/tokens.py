@@ -41,7 +41,7 @@ from evalloom.llm.words import FORGET, byte_slices, tidy
 
 CHUNK_BITS = 8
 SUPERBLOCK = 512
-#: Pieces, words among them, whose ids a worker keeps at most; beyond it that memory starts anew.
+#: Pieces, words among them, whose ids a worker keeps at most: half of them new, half from before; those not met again go.
 CACHE_PIECES = 1_200_000
 #: Texts are encoded in slices of about this size (or one text).
 SLICE_BYTES = 1 << 20
@@ -150,14 +150,18 @@ def _byte_letters() -> str:
 
 
 class Memory(dict):
-    """Pieces and their ids as bytes; one that is asked for the first time is made."""
+    """Pieces and their ids as bytes; one that neither this nor the memory before it has is made."""
 
-    def __init__(self, make: Callable[[str], bytes]) -> None:
+    def __init__(self, make: Callable[[str], bytes], before: dict[str, bytes] | None = None) -> None:
         super().__init__()
         self.make = make
+        self.before = before or {}
 
     def __missing__(self, piece: str) -> bytes:
-        raw = self[piece] = self.make(piece)
+        raw = self.before.get(piece)
+        if raw is None:
+            raw = self.make(piece)
+        self[piece] = raw
         return raw
 
 
@@ -183,6 +187,8 @@ class Encoder:
         self.letters = _byte_letters()
         self.marks = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
         self.seen = Memory(self._piece)
+        self.space = self.letters[ord(" ")]
+        self.coded = [struct.pack("<I", i) for i in range(1 + max(self.whole.get_vocab().values(), default=0))]
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -207,10 +213,18 @@ class Encoder:
         return pieces
 
     def _word(self, word: str) -> bytes:
-        found = self.model.tokenize(codecs.charmap_decode(word.encode(), "strict", self.letters)[0])
-        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        coded = self.coded
+        return b"".join([coded[t.id] for t in self.model.tokenize(codecs.charmap_decode(word.encode(), "strict", self.letters)[0])])
 
     def _piece(self, piece: str) -> bytes:
+        if piece.isascii():
+            # Of the bytes of such a word only the space has another character standing for it.
+            if piece.isalpha():
+                coded = self.coded
+                return b"".join([coded[t.id] for t in self.model.tokenize(self.space + piece)])
+            letters = piece.rstrip(_MARKS)
+            if letters.isalpha():
+                return self.seen[letters] + self.seen[BARE + piece[len(letters) :]]
         text = piece[1:] if piece[:1] == BARE else " " + piece
         if not (text.isascii() or max(text) < LATIN_END):
             return self._library(text)
@@ -227,8 +241,9 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
-        if len(self.seen) > CACHE_PIECES:
-            self.seen.clear()
+        if len(self.seen) > CACHE_PIECES // 2:
+            self.seen.before = {}
+            self.seen = Memory(self._piece, self.seen)
         get, out = self.seen.__getitem__, []
         for text in texts:
             pieces = self._pieces(text) if text else []
@@ -311,7 +326,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [unpack_codes(x.as_py()) for x in batch.column("codes")]
-            sums = [zlib.crc32(x.astype("<u4").tobytes()) for x in found]
+            sums = [zlib.crc32(x.astype("<u4", copy=False)) for x in found]
             counts = pa.array([len(x) for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("start"), counts, pa.array(sums, pa.int64())],

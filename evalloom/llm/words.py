@@ -34,6 +34,15 @@ def _give_back() -> None:
         trim(0)
 
 
+def _start(name: str) -> None:
+    """Reached by name: a task's function is sent by value, so lists that it held itself would be new in every task."""
+    if _last != [name]:
+        for forget in FORGET:
+            forget()
+        _give_back()
+        _last[:] = [name]
+
+
 def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task's batch function that leaves its worker small, since Python workers live on between tasks and stages.
 
@@ -44,11 +53,7 @@ def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
 
     @functools.wraps(work)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _last != [name]:
-            for forget in FORGET:
-                forget()
-            _give_back()
-            _last[:] = [name]
+        _start(name)
         try:
             yield from work(batches)
         finally:
